@@ -8,7 +8,10 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that parts words, and a word, as Java and RE2 patterns.
@@ -66,10 +69,6 @@ def process_cache(name: str) -> dict:
     return store.__dict__.setdefault(name, {})
 
 
-def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
 def one_spaced(text: Column) -> Column:
     """Every run of white space as one space; null as the empty text."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), UNEVEN_SPACE, " ")
@@ -84,3 +83,44 @@ def hinted(df: DataFrame, most_rows: int) -> DataFrame:
     """df marked for broadcast if a count proves it small; else as it is, for a
     shuffled join whose skewed partitions adaptive execution splits."""
     return F.broadcast(df) if small_enough(df, most_rows) else df
+
+
+def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
+    """df with its rank from 0 in the given order, found without one task seeing
+    all rows: rows are range-partitioned and numbered within each partition, and
+    the partitions' sizes, as few as there are partitions, give the offsets."""
+    rows = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__sl_at", F.monotonically_increasing_id()))
+    part = F.shiftright("__sl_at", 33)
+    sizes = rows.groupBy(part.alias("__sl_part")).count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__sl_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__sl_part", before.alias("__sl_before"))
+    return (
+        rows.withColumn("__sl_part", part)
+        .join(F.broadcast(offsets), "__sl_part")
+        .withColumn(name, F.col("__sl_before") + F.col("__sl_at").bitwiseAND((1 << 33) - 1))
+        .drop("__sl_part", "__sl_at", "__sl_before")
+    )
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A text column's UTF-8 bytes end to end, and where each row begins; nulls are empty."""
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the words of all rows begin."""
+    space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+    before = np.empty_like(space)
+    before[1:] = space[:-1]
+    before[offsets[:-1][offsets[:-1] < len(data)]] = True
+    return np.flatnonzero(before & ~space)
+
+
+def word_counts(column: pa.Array) -> np.ndarray:
+    data, offsets = text_bytes(column)
+    return np.diff(np.searchsorted(word_starts(data, offsets), offsets))

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, quality, tokens
+from . import exact, mixing, quality, tokens
 from .common import read_table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.copies(mixing.sized(read_table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -22,4 +27,4 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words", "lines_removed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op4_exact_dedup, op6_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op3_token_counts, op4_exact_dedup, op6_quality_rules)}

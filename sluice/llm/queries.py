@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, mixing, quality, tokens
+from . import chat, exact, mixing, pieces, quality, tokens
 from .common import read_table
 
 
@@ -34,4 +34,8 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op3_token_counts, op4_exact_dedup, op6_quality_rules, op7_chat_formatting)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op3_token_counts, op4_exact_dedup, op6_quality_rules, op7_chat_formatting, op10_sentencepiece)}

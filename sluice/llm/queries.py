@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, neardup, pieces, quality, tokens
+from . import chat, exact, lines, mixing, neardup, pieces, quality, tokens
 from .common import read_table
 
 
@@ -27,6 +28,17 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.without_lines(read_table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        F.col("__sl_lines").alias("lines_removed"),
+        F.col("__sl_words").alias("words_removed"),
+        F.length("__sl_text").cast("long").alias("chars_left"),
+        F.sha2("__sl_text", 256).alias("text_sha256"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words", "lines_removed")
 
@@ -42,4 +54,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_minhash_neardup, op3_token_counts, op4_exact_dedup, op6_quality_rules, op7_chat_formatting, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_minhash_neardup, op3_token_counts, op4_exact_dedup, op5_line_dedup, op6_quality_rules, op7_chat_formatting, op10_sentencepiece)}

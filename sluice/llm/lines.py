@@ -16,8 +16,9 @@ extended line by line both ways, and the later run is deleted.
 Defined cases: a null text has no lines and stays null; an empty text stays empty.
 Rows with the same id and the same text are one document: they are edited alike
 (whole copies of a row are exact dedup's work). Rows with a null id come first in
-order. Runs are found within a document too. An empty table gives an empty result. Extra columns are kept by drop_repeated_lines. Of a
-document all line hashes are held, never its groups.
+order. Runs are found within a document too. An empty table gives an empty
+result. Extra columns are kept by drop_repeated_lines. Of a document all line
+hashes are held, never its groups.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, lines, mixing, neardup, pieces, quality, tokens
+from . import chat, exact, langid, lines, mixing, neardup, pieces, quality, tokens
 from .common import read_table
 
 
@@ -50,8 +50,13 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_minhash_neardup, op3_token_counts, op4_exact_dedup, op5_line_dedup, op6_quality_rules, op7_chat_formatting, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_minhash_neardup, op3_token_counts, op4_exact_dedup, op5_line_dedup, op6_quality_rules, op7_chat_formatting, op8_language_id, op10_sentencepiece)}

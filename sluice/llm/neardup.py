@@ -49,7 +49,7 @@ SIMILAR_PERCENT = 80
 #: Ids of documents that take part in a candidate pair are broadcast up to this many (8 bytes each).
 BROADCAST_IDS = 500_000
 #: Bytes of text that are hashed together.
-PART_BYTES = 4_000_000
+PART_BYTES = 500_000
 
 _random = np.random.default_rng(11)
 BYTE_VALUES = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -17,6 +17,10 @@ skips what is connected already, so that large groups don't cost all their pairs
 1. every class with the nearest first member of its keys;
 2. for each two groups that still meet under a key within LIMIT, their nearest pair;
 3. all pairs that meet under a key within LIMIT and still lie in different groups.
+In 2 and 3 a pair is left out if its sets can't be similar enough: two sets share
+at most the shingles that are not in one of them alone, and none whose bit the other
+set's bitmap lacks. That spares the pairs of groups whose members are all near one
+text but not near each other, and drops no link.
 Whatever step 3 leaves unconfirmed is not a link, so the groups are those of all
 links. Groups are found by contraction of the links, in tables.
 
@@ -141,6 +145,8 @@ def chunk_keys(symbols: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1).view(np.int64)
 
 
+BITS = 1024
+BIT_LONGS = [f"b{k}" for k in range(BITS // 64)]
 LONGS = [f"s{k}" for k in range(SYMBOLS // 8)]
 SIGNED = f"n long, h1 long, h2 long, {', '.join(f'{s} long' for s in LONGS)}, keys array<long>"
 
@@ -189,6 +195,47 @@ def sizes_allow(a: str, b: str, percent: int) -> Column:
     return F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
 
 
+def bitmaps(sets: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Per set BITS bits, as longs, of which each element sets one."""
+    out = np.zeros((len(begins) - 1, BITS), bool)
+    out[np.repeat(np.arange(len(begins) - 1), np.diff(begins)), (mixed(sets ^ FLIPS[2]) & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(out, axis=1).view(np.int64)
+
+
+def bounded(open_sets: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Per rep of open_sets what bounds the shingles that it shares with others among
+    them: common (its shingles that any other of them has) and a bitmap of its set."""
+    ids = settled(open_sets.select("rep").distinct().join(classes.select("rep", "h1"), "rep"))
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(hinted(ids, BROADCAST_IDS), "rep").select("rep", "h1", "text")
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (p for whole in batches for p in parts(whole)):
+            sets, begins = distinct_sets(b.column("text"), width)
+            # An id that is repeated brings other texts along; the mark tells which is meant.
+            meant = pa.array(set_marks(sets, begins)[0] == b.column("h1").to_numpy())
+            bits = bitmaps(sets, begins)
+            lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(sets.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rep"), lists, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(BIT_LONGS)))], ["rep", "shingles", *BIT_LONGS]
+            ).filter(meant)
+
+    spelled_out = settled(texts.mapInArrow(spelled, f"rep {kind}, shingles array<long>, {', '.join(f'{c} long' for c in BIT_LONGS)}").dropDuplicates(["rep"]))
+    once = spelled_out.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
+    own = once.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    return spelled_out.join(own, "rep", "left").select("rep", *BIT_LONGS, (F.size("shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
+def most_shared(a: str, b: str) -> Column:
+    """What two sets can share at most. An element whose bit the other set lacks isn't shared."""
+    only_a, only_b = F.lit(0), F.lit(0)
+    for c in BIT_LONGS:
+        x, y = F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
+        only_a = only_a + F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+        only_b = only_b + F.bit_count(y.bitwiseAND(F.bitwise_not(x)))
+    return F.least(F.col(f"{a}.n") - only_a, F.col(f"{b}.n") - only_b, f"{a}.common", f"{b}.common")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Of pairs (u, v) of classes, those whose full sets are similar enough."""
     marks = classes.select("rep", "h1")
@@ -258,10 +305,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # What still meets under a key within the limit, in different groups.
     grouped = labelled(met.select("key", "rep"), labels, "rep", "label")
     open_keys = grouped.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    x = settled(grouped.join(open_keys, "key", "left_semi").join(sign, "rep"))
+    x = settled(grouped.join(open_keys, "key", "left_semi"))
+    bounds = bounded(x, classes, docs, id_col, text_col, width)
+    # Columns known not to be null keep the compiled comparison small enough to be fast.
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "common", *LONGS, *BIT_LONGS)]
+    x = settled(x.join(sign, "rep").join(bounds, "rep").join(classes.select("rep", "keys"), "rep").select("key", "rep", "label", "keys", *numbers))
     a, b = x.alias("a"), x.alias("b")
+    # Similar sets share percent / (100 + percent) of both sizes together.
+    may_share = most_shared("a", "b") * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label"))
-    meeting = a.join(b, apart & sizes_allow("a", "b", percent) & (distance("a", "b") <= LIMIT))
+    # A pair that meets under several keys counts at the least of them.
+    once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")
+    meeting = a.join(b, apart & sizes_allow("a", "b", percent) & (distance("a", "b") <= LIMIT) & may_share & once)
     waiting = settled(
         meeting.select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"), F.col("a.label").alias("lu"), F.col("b.label").alias("lv"), distance("a", "b").alias("d"))
         .distinct()

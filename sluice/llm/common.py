@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import sys
 import tempfile
@@ -64,9 +67,19 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def process_cache(name: str) -> dict:
-    """A dict that lives as long as this Python worker, whatever task asks."""
-    store = sys.modules.setdefault("sluice_process_cache", type(sys)("sluice_process_cache"))
-    return store.__dict__.setdefault(name, {})
+    """A dict that this Python worker keeps from task to task, for one operator at a
+    time: a worker that serves another one lets the last one's go, so that a job of
+    many operators holds no more than its largest."""
+    store = sys.modules.setdefault("sluice_process_cache", type(sys)("sluice_process_cache")).__dict__
+    kept = store.setdefault("kept", {})
+    if name not in kept:
+        if kept:
+            kept.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries
+                ctypes.CDLL(None).malloc_trim(0)
+        kept[name] = {}
+    return kept[name]
 
 
 def one_spaced(text: Column) -> Column:

@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (u, v); label is the component's least node.
 
     In each round every node points to its least neighbour or itself, pointers are
-    followed twice over, and the edges are drawn anew between what they lead to.
+    followed to their ends, twice as far with each step, and the edges are drawn anew
+    between what they lead to: long chains take few rounds.
     Sums per node are combined before the shuffle and large joins are split by
     adaptive execution, so a hub with most of the edges isn't one task's work.
     Nothing goes to the driver but whether edges are left.
@@ -21,12 +22,13 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not left.isEmpty():
         both = left.select("u", "v").unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        to = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("to"))
-        for _ in range(2):
-            to = settled(to)
+        to = settled(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("to")))
+        while True:
             on = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            to = to.join(on, "to").select("node", F.col("next").alias("to"))
-        to = settled(to)
+            jumped = settled(to.join(on, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            to = jumped.select("node", "to")
+            if jumped.where("moved").isEmpty():
+                break
         if labels is None:
             labels = to.select("node", F.col("to").alias("label"))
         else:

@@ -30,6 +30,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,18 +49,16 @@ STEPS = 12
 LEARNING_RATE = 0.15
 DECAY = 0.02
 LEXICON = 3000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: A pipeline keeps documents whose language has at least this mean probability.
 MIN_SCORE = 0.3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 EDGES = " \t.,;:!?\"'()[]{}<>#*$%&|-_/\\=+@0123456789"
 
 
+@lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    cache = process_cache("letters")
-    if "table" not in cache:
-        cache["table"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    return cache["table"]
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def word_features(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -43,7 +43,7 @@ from .common import process_cache, ship_code
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS = 600_000
+CACHE_SEGMENTS = 300_000
 
 
 def default_model() -> str:

@@ -34,6 +34,9 @@ from pyspark.sql import functions as F
 from .common import hinted, settled
 
 KEY = "sluice-surrogates-1"
+#: After so many attempts each, a surrogate gets one letter or digit more than the
+#: format has: where a format's space is nearly used up, distinctness comes first.
+PATIENCE = 6
 #: Exceptions are broadcast up to this many.
 BROADCAST_EXCEPTIONS = 200_000
 
@@ -168,7 +171,7 @@ def seeds(x: Mapping[str, Column], attempt: Column, key: str) -> dict[str, Colum
     """The seeds of an entity's surrogate, and of the domain if it is an address."""
     own = F.sha2(F.concat_ws("\x1f", F.lit(key), x["kind"], x["canon"], attempt.cast("string")), 256)
     domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.lower(domain_of(x["entity"]))), 256)
-    return {"seed": F.xxhash64(own), "domain_seed": F.xxhash64(domain)}
+    return {"seed": F.xxhash64(own), "domain_seed": F.xxhash64(domain), "extra": F.floor(attempt / PATIENCE).cast("int")}
 
 
 def domain_of(e: Column) -> Column:
@@ -178,7 +181,8 @@ def domain_of(e: Column) -> Column:
 def surrogate(x: Mapping[str, Column]) -> Column:
     """Of an entity with its kind, canonical form and seeds."""
     e, kind, canon, seed = x["entity"], x["kind"], x["canon"], x["seed"]
-    email = F.concat(substituted(F.regexp_extract(e, r"\A([^@]*)@", 1), seed), F.lit("@"), substituted(domain_of(e), x["domain_seed"]), F.regexp_extract(e, r"(\.[^.]*)\z", 1))
+    longer, more = (F.when(x["extra"] > 0, substituted(F.repeat(F.lit(c), x["extra"]), F.xxhash64(seed, F.lit(-2)))).otherwise(F.lit("")) for c in "a0")
+    email = F.concat(substituted(F.regexp_extract(e, r"\A([^@]*)@", 1), seed), longer, F.lit("@"), substituted(domain_of(e), x["domain_seed"]), F.regexp_extract(e, r"(\.[^.]*)\z", 1))
     value = secret_value(e)
     secret = F.concat(F.regexp_extract(e, r"\A(.*?[=:] ?\"?)", 1), F.when(value.rlike(r"\A[0-9a-f]+\z|\A[0-9A-F]+\z"), hexed(value, seed)).otherwise(substituted(value, seed)), F.when(e.endswith('"'), F.lit('"')).otherwise(F.lit("")))
     octets = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: (F.pmod(F.xxhash64(seed, i), F.lit(254)) + 1).cast("string")), ".")
@@ -189,15 +193,15 @@ def surrogate(x: Mapping[str, Column]) -> Column:
         F.when(kind == "email", email)
         .when(kind == "secret", secret)
         .when(kind == "ip", octets)
-        .when(kind == "card", filled(e, card_digits(canon, seed)))
-        .when(kind == "name", name_words(e, canon, seed))
-        .otherwise(filled(e, plain))
+        .when(kind == "card", F.concat(filled(e, card_digits(canon, seed)), more))
+        .when(kind == "name", F.concat(name_words(e, canon, seed), longer))
+        .otherwise(F.concat(filled(e, plain), more))
     )
 
 
 def exceptions(entities: DataFrame, key: str) -> DataFrame:
     """(mark, attempt) of the entities whose first surrogate is taken. entities: entity, kind, canon."""
-    x = {c: F.col(c) for c in ("entity", "kind", "canon", "seed", "domain_seed")}
+    x = {c: F.col(c) for c in ("entity", "kind", "canon", "seed", "domain_seed", "extra")}
     table = settled(entities.groupBy("kind", "canon").agg(F.min("entity").alias("entity")).withColumn("attempt", F.lit(0)))
     known = table.select("kind", F.col("canon").alias("made"), F.lit(True).alias("real"))
     while True:

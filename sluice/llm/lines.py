@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, ship_code
+from .common import settled, ship_code, tidy
 
 #: Words that a repeated run has at least.
 LEAST = 50
@@ -97,7 +97,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataF
                 ["doc_id", "tie", "marks", "sizes", "prints"],
             )
 
-    return rows.mapInArrow(marked, f"doc_id {kind}, tie long, marks array<long>, sizes array<int>, prints array<struct<print: long, place: int, window: long>>")
+    return rows.mapInArrow(tidy(marked), f"doc_id {kind}, tie long, marks array<long>, sizes array<int>, prints array<struct<print: long, place: int, window: long>>")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -107,7 +107,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = settled(line_table(docs, id_col, text_col, least))
     prints = table.select("doc_id", "tie", F.explode("prints").alias("p")).select("doc_id", "tie", "p.print", "p.place", "p.window")
     spot = F.struct("doc_id", "tie", "place")
-    firsts = prints.groupBy("print", "window").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("print", "window", "first")
+    # Kept apart from the join, so that the join's large partitions can be split.
+    firsts = settled(prints.groupBy("print", "window").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("print", "window", "first"))
     # One seed per document, earlier document and shift between them, wherever they meet.
     seeds = (
         prints.join(firsts, ["print", "window"])
@@ -137,7 +138,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 found.append(sorted(gone))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "tie", "gone"])
 
-    runs = both.mapInArrow(extended, f"doc_id {kind}, tie long, gone array<int>")
+    runs = both.mapInArrow(tidy(extended), f"doc_id {kind}, tie long, gone array<int>")
     return runs.groupBy("doc_id", "tie").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 

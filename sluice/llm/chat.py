@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_code
+from .common import ship_code, tidy
 
 #: Opening and closing marks by role.
 MARKS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -133,7 +133,7 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                 ["conv_id", "turn", "role", "formatted", "mask_from", "mask_to", "escaped"],
             )
 
-    return rows.mapInArrow(rendered, f"conv_id {kind}, {TURNS}")
+    return rows.mapInArrow(tidy(rendered), f"conv_id {kind}, {TURNS}")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield put([closed()])
 
-    return rows.mapInArrow(digests, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(tidy(digests), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def conversation_texts(formatted: DataFrame) -> DataFrame:

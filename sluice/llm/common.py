@@ -9,6 +9,7 @@ import os
 import sys
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -76,12 +77,39 @@ def process_cache(name: str) -> dict:
         if kept:
             kept.clear()
             gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries
-                ctypes.CDLL(None).malloc_trim(0)
+            release_memory()
         kept[name] = {}
     return kept[name]
 
 
+def release_memory() -> None:
+    """Gives back to the system what this Python worker has freed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Collects the driver's garbage, in Python and in the JVM. With a long row of jobs
+    that also lets Spark remove the shuffles, broadcasts and checkpoints of finished
+    steps, which it does once their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    release_memory()
+
+
+def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """step, giving memory back after every batch: workers share an executor's with its JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in step(batches):
+            yield b
+            del b
+            release_memory()
+
+    return run
+
+
 def one_spaced(text: Column) -> Column:
     """Every run of white space as one space; null as the empty text."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), UNEVEN_SPACE, " ")

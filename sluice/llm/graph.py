@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import let_go, settled
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     left = settled(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     labels = None
     while not left.isEmpty():
+        let_go(edges.sparkSession)
         both = left.select("u", "v").unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
         to = settled(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("to")))
         while True:

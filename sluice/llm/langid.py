@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache, ship_code
+from .common import let_go, process_cache, ship_code, tidy
 
 UND = "und"
 PER_LANGUAGE = 150
@@ -214,7 +214,7 @@ class Tagger:
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size < 1_000_000):
+            while end < len(texts) and (end == at or size < 250_000):
                 size += len(texts[end] or "")
                 end += 1
             p, first = self.word_probabilities(texts[at:end])
@@ -305,7 +305,10 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Tagger | None:
     rows = training_sample(docs, id_col, text_col, lang_col, per_language).collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+    tagger = train([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+    del rows
+    let_go(docs.sparkSession)
+    return tagger
 
 
 def shared_tagger(tagger: Tagger) -> Tagger:
@@ -334,7 +337,7 @@ def predict(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text
                 ["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return rows.mapInArrow(predicted, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(predicted), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def label_words(texts: list[str | None], tagger: Tagger) -> list[list[tuple[str, str, float]]]:
@@ -353,9 +356,13 @@ def drop_unidentified(docs: DataFrame, tagger: Tagger | None, text_col: str = "t
     if tagger is None:
         return docs.limit(0)
 
-    @F.arrow_udf("boolean")
-    def known(texts: pa.Array) -> pa.Array:
-        return pa.array([lang != UND and score >= min_score for lang, score in shared_tagger(tagger).predict(texts.to_pylist())], pa.bool_())
-
     ship_code(docs.sparkSession)
-    return docs.where(known(F.col(text_col)))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared_tagger(tagger)
+        for whole in batches:
+            for b in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
+                made = own.predict(b.column(text_col).to_pylist())
+                yield b.filter(pa.array([lang != UND and score >= min_score for lang, score in made], pa.bool_()))
+
+    return docs.mapInArrow(tidy(known), docs.schema)

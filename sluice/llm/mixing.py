@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hinted, ranked, settled, ship_code, word_counts
+from .common import hinted, ranked, settled, ship_code, tidy, word_counts
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -51,7 +51,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return settled(rows.mapInArrow(count, f"doc_id {kind}, source string, tie long, size long"))
+    return settled(rows.mapInArrow(tidy(count), f"doc_id {kind}, source string, tie long, size long"))
 
 
 def source_targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:

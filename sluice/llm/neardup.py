@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, settled, ship_code, text_bytes, word_starts
+from .common import hinted, let_go, settled, ship_code, text_bytes, tidy, word_starts
 from .graph import components
 
 SYMBOLS, CHUNKS, ERRORS = 40, 10, 1
@@ -177,7 +177,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
                 ["doc_id", "n", "h1", "h2", *LONGS, "keys"],
             )
 
-    return rows.mapInArrow(sign, f"doc_id {kind}, {SIGNED}")
+    return rows.mapInArrow(tidy(sign), f"doc_id {kind}, {SIGNED}")
 
 
 def distance(a: str, b: str) -> Column:
@@ -220,7 +220,7 @@ def bounded(open_sets: DataFrame, classes: DataFrame, docs: DataFrame, id_col: s
                 [b.column("rep"), lists, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(BIT_LONGS)))], ["rep", "shingles", *BIT_LONGS]
             ).filter(meant)
 
-    spelled_out = settled(texts.mapInArrow(spelled, f"rep {kind}, shingles array<long>, {', '.join(f'{c} long' for c in BIT_LONGS)}").dropDuplicates(["rep"]))
+    spelled_out = settled(texts.mapInArrow(tidy(spelled), f"rep {kind}, shingles array<long>, {', '.join(f'{c} long' for c in BIT_LONGS)}").dropDuplicates(["rep"]))
     once = spelled_out.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
     own = once.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     return spelled_out.join(own, "rep", "left").select("rep", *BIT_LONGS, (F.size("shingles") - F.coalesce("own", F.lit(0))).alias("common"))
@@ -264,7 +264,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
                 keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield b.select(["u", "v"]).filter(pa.array(keep))
 
-    return joined.mapInArrow(similar, f"u {kind}, v {kind}")
+    return joined.mapInArrow(tidy(similar), f"u {kind}, v {kind}")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = SIMILAR_PERCENT) -> DataFrame:
@@ -291,6 +291,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return both.select("u", "v", distance("u_", "v_").alias("d")).where(F.col("d") <= LIMIT)
 
     def confirm(pairs: DataFrame) -> DataFrame:
+        let_go(docs.sparkSession)
         return confirmed(pairs, classes, docs, id_col, text_col, width, percent)
 
     def labelled(frame: DataFrame, labels: DataFrame, at: str, name: str) -> DataFrame:
@@ -306,6 +307,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grouped = labelled(met.select("key", "rep"), labels, "rep", "label")
     open_keys = grouped.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
     x = settled(grouped.join(open_keys, "key", "left_semi"))
+    let_go(docs.sparkSession)
     bounds = bounded(x, classes, docs, id_col, text_col, width)
     # Columns known not to be null keep the compiled comparison small enough to be fast.
     numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "common", *LONGS, *BIT_LONGS)]

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import process_cache, ship_code
+from .common import process_cache, ship_code, tidy
 
 #: White space as the vocabulary's normaliser has it.
 SPACE_CLASS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -143,7 +143,7 @@ class RankMerger:
         while done < len(texts):
             # So many texts at a time that the parts in hand stay bounded.
             batch, size = [], 0
-            while done < len(texts) and size < 2_000_000:
+            while done < len(texts) and size < 500_000:
                 batch.append(self.parts(texts[done]))
                 size += len(texts[done])
                 done += 1
@@ -178,5 +178,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(tidy(counted), f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > over)

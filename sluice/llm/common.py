@@ -47,7 +47,14 @@ def scratch_ready(spark: SparkSession) -> None:
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, lineage cut."""
     scratch_ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    # A checkpoint takes its plan's constraints along; over many rounds they would multiply.
+    conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(name, before)
 
 
 _shipped: set[str] = set()

@@ -30,8 +30,8 @@ def _picked(values: tuple[str, ...], index: Column) -> Column:
 
 
 def _clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as clicks on the first question's options; few per user, so that results differ."""
-    return load(spark, sf_dir, "events").where("value < 3").withColumn("option", _picked(USES, F.col("event_id")))
+    """All events as clicks on the first question's options."""
+    return load(spark, sf_dir, "events").withColumn("option", _picked(USES, F.col("event_id")))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,7 +183,7 @@ def r26_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r27_indexed_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "x"))
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
     i = F.col("i")
     return rows.select("vec_id", "i", (i * 80).alias("delay_ms"), records.bar_colour(i).alias("colour"), records.bar_opacity(i).alias("opacity"))
 

@@ -53,3 +53,12 @@ def test_answers_see_every_click(spark, selected):
         assert edits[u]["toggled"] == ";".join(left if first in chosen else [*chosen, first])
         assert (done[u]["uses_complete"], done[u]["scope_complete"]) == (bool(chosen), registry.SCOPES[u % 4] != "")
         assert shown[u]["is_selected"] == (second in chosen if u % 2 == 0 else registry.SCOPES[u % 4] == "Yes")
+
+
+def test_every_position_is_mapped(spark):
+    want = set()
+    for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect():
+        want |= {(r["vec_id"], i, i * 80, "accent" if i >= 6 else "plain") for i in range(len(r["embedding"]))}
+    rows = registry.QUERIES["r27_indexed_map"](spark, SF).collect()
+    assert len(rows) == len(want) and {(r["vec_id"], r["i"], r["delay_ms"], r["colour"]) for r in rows} == want
+    assert all(r["opacity"] == (0.6 + r["i"] * 0.06 if r["i"] < 6 else 1.0) for r in rows)

@@ -8,12 +8,11 @@ Line rules, for a line with at least one word:
 - punctuation: no sentence end ([.!?] and a few other scripts' marks) anywhere in
   the line, or symbols or doubled exclamation marks on more than 3 in 10 words;
 - navigation: at least 3 separators (| and the like) and more than 2 per 10 words;
-- boilerplate: a line of at most `BOILERPLATE_WORDS` words with a phrase that
-  marks licences, rights notices or site furniture.
+- boilerplate: at least one phrase that marks licences, rights notices or site
+  furniture per `BOILERPLATE_WORDS` words, however long the line is.
 
-A document is rejected if the punctuation and navigation rules remove more than
-half of its words, or if no words are left. Boilerplate lines alone never outweigh
-the rest: a short clean text with a licence line stays.
+A document is rejected if the three rules remove more than half of its words, or if
+no words are left. A short text with a licence line stays if most of it is clean.
 
 Defined cases: a null or empty text has no words and no lines and fails the base
 rules. Rows are independent, so repeated rows, ties and null ids need no care.
@@ -48,7 +47,7 @@ def line_verdict(line: Column, words: Column) -> Column:
         F.when(words == 0, F.lit(None))
         .when((cuts >= 3) & (cuts * 10 > words * 2), F.lit("navigation"))
         .when((noise * 10 > words * 3) | ~line.rlike(SENTENCE_END), F.lit("punctuation"))
-        .when((words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE), F.lit("boilerplate"))
+        .when(F.regexp_count(line, F.lit(BOILERPLATE)) * BOILERPLATE_WORDS >= words, F.lit("boilerplate"))
     )
 
 
@@ -93,7 +92,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         "n_symbols",
         (F.size("worded") - F.size(F.array_distinct(F.transform("worded", lambda x: x["line"])))).cast("long").alias("n_dup_lines"),
         _repeat_words("sorted", window).alias("n_repeat_words"),
-        F.aggregate("worded", F.lit(0).cast("long"), lambda a, x: a + F.when(x["failed"].isin("navigation", "punctuation"), x["words"]).otherwise(0)).alias("lost_words"),
+        F.aggregate("worded", F.lit(0).cast("long"), lambda a, x: a + F.when(x["failed"].isNotNull(), x["words"]).otherwise(0)).alias("lost_words"),
         F.aggregate("worded", F.lit(0).cast("long"), lambda a, x: a + F.when(x["failed"].isNull(), x["words"]).otherwise(0)).alias("left_words"),
         F.size(F.filter("worded", lambda x: x["failed"].isNotNull())).cast("long").alias("lines_removed"),
         F.array_join(F.transform(F.filter("judged", lambda x: x["failed"].isNull()), lambda x: x["line"]), "\n").alias("clean_text"),

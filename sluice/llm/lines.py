@@ -2,16 +2,21 @@
 
 A line's hash ignores white space at its ends and runs of it inside. From every
 line of a document a window of lines begins that has at least LEAST words (the
-fewest lines that do; lines without words don't count). The least hash of a
-window, the rightmost of equal ones, is its fingerprint. What two texts share of
-LEAST words or more in whole lines holds a whole window, which has the same
-fingerprint at the same place in both: no such run goes unseen.
-
-Fingerprints are joined on their hash and their window's, so that a common short
-line doesn't lead to a text that shares nothing else; each occurrence is joined
-with the first one only (order: id, text hash, place), which gives as many rows as
-there are fingerprints, however often a run is repeated. From there matches are
-extended line by line both ways, and the later run is deleted.
+fewest lines that do; lines without words don't count), and at every line such a
+window ends. The least hash of a window is its fingerprint.
+
+A window that occurs before (order: id, text hash, place), anywhere, is deleted
+whole. That deletes exactly the lines that lie in a run of whole lines, of LEAST
+words or more, that occurs before: a line of such a run lies in the window that
+begins there, if that ends within the run, and else in the window that ends with
+the run. Both have occurred before with the run, and what makes a window the
+shortest is in its own lines, so it is a window there too. So no run has to be
+extended, and its longer variants need no partner of their own.
+
+Windows are grouped by their fingerprint and their whole lines' hash together, 128
+bits: the fingerprint alone would pair texts that share a common short line only,
+and the pairs of a hot passage grow with its square. Partial sums come before the
+shuffle, so that there are as many rows as windows, however often a run is repeated.
 
 Defined cases: a null text has no lines and stays null; an empty text stays empty.
 Rows with the same id and the same text are one document: they are edited alike
@@ -47,99 +52,69 @@ def line_marks(text: str) -> tuple[list[int], list[int]]:
     return marks, sizes
 
 
-def windows(marks: list[int], sizes: list[int], least: int) -> Iterator[tuple[int, int, int]]:
-    """(fingerprint, its place, window's hash) of each window over the worded lines."""
+def windows(marks: list[int], sizes: list[int], least: int) -> Iterator[tuple[int, tuple[int, int], int]]:
+    """(fingerprint, first and last place, window's hash) of each window over the worded
+    lines: the shortest that begin at a line, and the shortest that end at one."""
     places = [i for i, n in enumerate(sizes) if n]
+    spans = set()
     end = words = 0
     for begin in range(len(places)):
         while end < len(places) and words < least:
             words += sizes[places[end]]
             end += 1
         if words < least:
-            return
-        chosen = min(range(begin, end), key=lambda k: (marks[places[k]], -k))
-        window = np.array([marks[i] for i in places[begin:end]], np.int64).tobytes()
-        yield marks[places[chosen]], places[chosen], xxhash.xxh3_64_intdigest(window) - (1 << 63)
+            break
+        spans.add((begin, end))
         words -= sizes[places[begin]]
-
-
-def run_around(mine: list[int], at: int, other: list[int], to: int) -> tuple[int, int]:
-    """The longest run of equal lines around the pair of places: its first and last
-    place in mine. Within one document a run may reach into its own repeat; each of
-    its lines still equals an earlier one, so one period stays."""
-    low = 0
-    while at - low > 0 and to - low > 0 and mine[at - low - 1] == other[to - low - 1]:
-        low += 1
-    high = 0
-    while at + high + 1 < len(mine) and to + high + 1 < len(other) and mine[at + high + 1] == other[to + high + 1]:
-        high += 1
-    return at - low, at + high
+    begin = words = 0
+    for end in range(len(places)):
+        words += sizes[places[end]]
+        while words - sizes[places[begin]] >= least:
+            words -= sizes[places[begin]]
+            begin += 1
+        if words >= least:
+            spans.add((begin, end + 1))
+    lines = np.array([marks[i] for i in places], np.int64)
+    for begin, end in sorted(spans):
+        window = lines[begin:end]
+        yield int(window.min()), (places[begin], places[end - 1]), xxhash.xxh3_64_intdigest(window.tobytes()) - (1 << 63)
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """Per document (id and text): doc_id, tie, marks (hashes of the worded lines),
-    sizes (their words), prints (its windows' fingerprints, places among the worded
-    lines and hashes)."""
+    """Per document (id and text): doc_id, tie, prints (its windows' fingerprints, first
+    and last places among the worded lines and hashes)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    print_kind = pa.struct([("print", pa.int64()), ("place", pa.int32()), ("window", pa.int64())])
+    print_kind = pa.struct([("print", pa.int64()), ("place", pa.int32()), ("end", pa.int32()), ("window", pa.int64())])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks, sizes, prints = [], [], []
+            prints = []
             for text in b.column("text").to_pylist():
                 both = [(m, n) for m, n in zip(*line_marks(text), strict=True) if n]
                 m, n = [x[0] for x in both], [x[1] for x in both]
-                marks.append(m), sizes.append(n)
-                prints.append([{"print": p, "place": i, "window": w} for p, i, w in windows(m, n, least)])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("tie"), pa.array(marks, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(prints, pa.list_(print_kind))],
-                ["doc_id", "tie", "marks", "sizes", "prints"],
-            )
+                prints.append([{"print": p, "place": i, "end": z, "window": w} for p, (i, z), w in windows(m, n, least)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(prints, pa.list_(print_kind))], ["doc_id", "tie", "prints"])
 
-    return rows.mapInArrow(tidy(marked), f"doc_id {kind}, tie long, marks array<long>, sizes array<int>, prints array<struct<print: long, place: int, window: long>>")
+    return rows.mapInArrow(tidy(marked), f"doc_id {kind}, tie long, prints array<struct<print: long, place: int, end: int, window: long>>")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """Per document that has any: doc_id, tie (its text's hash), gone (sorted places,
-    among its worded lines, of those to delete) and gone_words."""
+    """Per document that has any: doc_id, tie (its text's hash) and gone (sorted places,
+    among its worded lines, of those to delete)."""
     ship_code(docs.sparkSession)
     table = settled(line_table(docs, id_col, text_col, least))
-    prints = table.select("doc_id", "tie", F.explode("prints").alias("p")).select("doc_id", "tie", "p.print", "p.place", "p.window")
+    prints = table.select("doc_id", "tie", F.explode("prints").alias("p")).select("doc_id", "tie", "p.print", "p.place", "p.end", "p.window")
     spot = F.struct("doc_id", "tie", "place")
     # Kept apart from the join, so that the join's large partitions can be split.
     firsts = settled(prints.groupBy("print", "window").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("print", "window", "first"))
-    # One seed per document, earlier document and shift between them, wherever they meet.
-    seeds = (
+    later = (
         prints.join(firsts, ["print", "window"])
-        .select("doc_id", "tie", "place", F.col("first.doc_id").alias("from_id"), F.col("first.tie").alias("from_tie"), F.col("first.place").alias("from_place"))
-        .where(~(F.col("doc_id").eqNullSafe(F.col("from_id")) & (F.col("tie") == F.col("from_tie")) & (F.col("place") == F.col("from_place"))))
-        .distinct()
+        .where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie")) & (F.col("place") == F.col("first.place"))))
+        .select("doc_id", "tie", "place", "end")
     )
-    grouped = settled(seeds.groupBy("doc_id", "tie", "from_id", "from_tie").agg(F.collect_list(F.struct("place", "from_place")).alias("seeds")))
-    lists = table.select("doc_id", "tie", "marks").dropDuplicates(["doc_id", "tie"])
-    kind = lists.schema["doc_id"].dataType.simpleString()
-    mine = grouped.join(lists.withColumnsRenamed({"doc_id": "d", "tie": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))).drop("d", "t")
-    earlier = lists.select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), F.col("marks").alias("from_marks"))
-    both = mine.join(earlier, F.col("from_id").eqNullSafe(F.col("d")) & (F.col("from_tie") == F.col("t"))).select("doc_id", "tie", "marks", "seeds", "from_marks")
-
-    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for marks, seeds, other in zip(*(b.column(c).to_pylist() for c in ("marks", "seeds", "from_marks")), strict=True):
-                gone: set[int] = set()
-                done: dict[int, int] = {}  # by shift: the last place of the run extended so far
-                for at, to in sorted((s["place"], s["from_place"]) for s in seeds):
-                    if done.get(at - to, -1) >= at:
-                        continue
-                    first, last = run_around(marks, at, other, to)
-                    done[at - to] = last
-                    gone.update(range(first, last + 1))
-                found.append(sorted(gone))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "tie", "gone"])
-
-    runs = both.mapInArrow(tidy(extended), f"doc_id {kind}, tie long, gone array<int>")
-    return runs.groupBy("doc_id", "tie").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    spans = F.collect_set(F.struct("place", "end"))
+    return later.groupBy("doc_id", "tie").agg(F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["place"], x["end"]))))).alias("gone"))
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:

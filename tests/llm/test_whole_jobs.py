@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sluice.llm import quality
+import random
+
+from sluice.llm import lines, quality
 
 
 # 6. Quality
@@ -10,13 +12,47 @@ from sluice.llm import quality
 
 def test_boilerplate_counts_as_lost(spark):
     furniture = ["click here", "sign up", "accept cookies", "read more"]
-    lines = [f"Please {k} {furniture[k % 4]} for {k + 50} more." for k in range(19)]  # no 5 words twice
+    bad = [f"Please {k} {furniture[k % 4]} for {k + 50} more." for k in range(19)]  # no 5 words twice
     clean = "One clean line of words that nobody objects to ends here."
     cookies = "We value your privacy, so accept cookies now or read our cookie policy, our privacy policy and our terms of service before you go on to any other page of ours."
     prose = "The committee met for several hours to discuss copyright in the age of printing, and its members agreed on very little, as they had in all of the years before that one."
-    texts = ["\n".join([*lines, clean]), f"{cookies}\n{clean}", prose, f"{clean}\nAll rights reserved."]
+    texts = ["\n".join([*bad, clean]), f"{cookies}\n{clean}", prose, f"{clean}\nAll rights reserved."]
     got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[k]["kept"] for k in range(4)] == [False, False, True, True]
     assert [got[k]["lines_removed"] for k in range(4)] == [19, 1, 0, 1]
-    assert [got[k]["lost_words"] for k in range(4)] == [sum(len(x.split()) for x in lines), len(cookies.split()), 0, 3]
+    assert [got[k]["lost_words"] for k in range(4)] == [sum(len(x.split()) for x in bad), len(cookies.split()), 0, 3]
     assert got[0]["clean_text"] == clean
+
+
+# 5. Line dedup
+
+
+def all_pairs_left(data, least=50):
+    """Lines outside all maximal runs that are shared with any earlier place."""
+    split = {i: [" ".join(x.split()) for x in t.split("\n") if x.split()] for i, t in data}
+    gone = {i: set() for i in split}
+    for i in split:
+        for j in (j for j in split if j <= i):
+            mine, other = split[i], split[j]
+            for shift in range(1 if i == j else 1 - len(other), len(mine)):
+                a = max(0, shift)
+                while a < len(mine) and a - shift < len(other):
+                    z = a
+                    while z < len(mine) and z - shift < len(other) and mine[z] == other[z - shift]:
+                        z += 1
+                    if sum(len(x.split()) for x in mine[a:z]) >= least:
+                        gone[i] |= set(range(a, z))
+                    a = z + 1
+    return {i: [x for k, x in enumerate(split[i]) if k not in gone[i]] for i in split}
+
+
+def test_longer_variants_of_a_hot_passage(spark):
+    hot, tail, head = "hot " * 60, "tail " * 10, "head " * 10
+    data = [(0, f"{hot}\nown end 0"), (1, f"{head}\n{hot}\n{tail}\nown end 1"), (2, f"own start 2\n{head}\n{hot}\n{tail}\nown end 2")]
+    rng = random.Random(11)
+    pool = [" ".join(f"w{k}" for _ in range(n)) for k, n in enumerate([3, 8, 12, 20, 30, 55])]
+    data += [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for k in range(3, 90)]
+    got = {r["doc_id"]: [" ".join(x.split()) for x in r["__sl_text"].split("\n") if x.split()] for r in lines.without_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    want = all_pairs_left(data)
+    assert want[2] == ["own start 2", "own end 2"]
+    assert got == want

@@ -189,7 +189,7 @@ class Pieces:
         else:
             joined = "".join(re.escape(c) for c in sorted(set("".join(long)) - {MARK}))
             self.segment = re.compile(f"{MARK}*[{joined}]+|{MARK}+|[^{MARK}{joined}]")
-        self.cache: dict[str, tuple[bytes, int, int, float, bool]] = {}
+        self.cache: dict[str, tuple[bytes, int, int, float, bytes]] = {}
 
     def normal(self, text: str) -> str:
         """The text with white space marked, ready to be cut into segments."""
@@ -262,26 +262,29 @@ class Pieces:
         return b"".join(map(self.bytes.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
-        text = self.decode_bytes(ids).decode(errors="replace")
+        return self.plain(self.decode_bytes(ids))
+
+    def plain(self, data: bytes) -> str:
+        """The text of all of a document's decoded bytes."""
+        text = data.decode(errors="replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
     def cut(self, text: str) -> list[str]:
         return self.segment.findall(self.normal(text))
 
     def learn(self, segments: set[str]) -> None:
-        """Fills the cache: packed ids, number, bytes spelled out, score, reads back."""
+        """Fills the cache: packed ids, number, bytes spelled out, score, decoded bytes."""
         fresh = list(segments)
         spells = self.spells.__getitem__
         for s, (ids, score) in zip(fresh, self.viterbi(fresh), strict=True):
-            back = self.decode_bytes(ids) == s.replace(MARK, " ").encode()
-            self.cache[s] = (struct.pack(f"<{len(ids)}i", *ids), len(ids), sum(map(spells, ids)), score, back)
+            self.cache[s] = (struct.pack(f"<{len(ids)}i", *ids), len(ids), sum(map(spells, ids)), score, self.decode_bytes(ids))
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, int, int, float, bool]]:
         """Per text: ids (little-endian 32-bit), their number, bytes spelled out, the
-        path's score, and whether decoding gives the text."""
+        path's score, and whether decoding all of them gives the text itself."""
         done = 0
         while done < len(texts):
-            batch, size = [], 0
+            batch, size, at = [], 0, done
             while done < len(texts) and size < 300_000:
                 batch.append(self.cut(texts[done]))
                 size += len(texts[done])
@@ -291,13 +294,13 @@ class Pieces:
             unseen = set().union(*batch).difference(self.cache)
             if unseen:
                 self.learn(unseen)
-            for segments in batch:
+            for text, segments in zip(texts[at:done], batch, strict=True):
                 got = list(map(self.cache.__getitem__, segments))
                 if not got:
-                    yield b"", 0, 0, 0.0, True
+                    yield b"", 0, 0, 0.0, text == ""
                     continue
                 ids, number, spelled, score, back = zip(*got, strict=True)
-                yield b"".join(ids), sum(number), sum(spelled), sum(score), all(back)
+                yield b"".join(ids), sum(number), sum(spelled), sum(score), self.plain(b"".join(back)) == text
 
 
 def pieces(path: str) -> Pieces:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from sluice.llm import lines, quality
+import numpy as np
+
+from sluice.llm import lines, pieces, quality
 
 
 # 6. Quality
@@ -56,3 +58,14 @@ def test_longer_variants_of_a_hot_passage(spark):
     want = all_pairs_left(data)
     assert want[2] == ["own start 2", "own end 2"]
     assert got == want
+
+
+# 10. Pieces
+
+
+def test_decodes_compares_whole_texts():
+    own = pieces.Pieces(pieces.default_model())
+    texts = ["a\u2581b", "\u2581", "plain words", " led by a space", "two  spaces ", "", "\u65e5\u672c \U0001fae0"]
+    made = list(own.encode_batch(texts))
+    assert [m[4] for m in made] == [own.decode(np.frombuffer(m[0], "<i4").tolist()) == t for m, t in zip(made, texts, strict=True)]
+    assert [m[4] for m in made] == [False, False, True, True, True, True, True]

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import sys
 import tempfile
 import zipfile
@@ -35,26 +36,32 @@ def scratch_ready(spark: SparkSession) -> None:
     """Names a checkpoint folder where the session has none.
 
     A cluster names a shared folder in spark.checkpoint.dir, which is used as it
-    is. Only a session without that setting, as in tests, gets a local one.
+    is. Only a session in one local process, as in tests, gets a folder of its own; on
+    a cluster without that setting what a lost executor held would be gone, so that
+    is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sluice-ck-"))
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, lineage cut."""
-    scratch_ready(df.sparkSession)
-    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(name)
-    # A checkpoint takes its plan's constraints along; over many rounds they would multiply.
-    conf.set(name, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set(name, before)
+    """df, computed once and kept in the shared checkpoint folder, lineage cut.
+
+    A checkpoint takes its plan's size estimate and constraints along. Where a loop
+    joins a table with itself these would double with every round, so the result is
+    a frame of the written rows and the schema alone. Spark deletes the files when
+    the frame is collected if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    spark = df.sparkSession
+    scratch_ready(spark)
+    kept = df.checkpoint(eager=True)
+    rows = kept._jdf.queryExecution().analyzed().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
 
 
 _shipped: set[str] = set()

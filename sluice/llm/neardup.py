@@ -52,6 +52,8 @@ SYMBOL_BITS = 16
 SIMILAR_PERCENT = 80
 #: Ids of documents that take part in a candidate pair are broadcast up to this many (8 bytes each).
 BROADCAST_IDS = 500_000
+#: Pairs of one document that are confirmed by one task at most, each group with its own copy of that document's set.
+GROUP = 512
 #: Bytes of text that are hashed together.
 PART_BYTES = 500_000
 
@@ -204,7 +206,8 @@ def bitmaps(sets: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 def bounded(open_sets: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Per rep of open_sets what bounds the shingles that it shares with others among
-    them: common (its shingles that any other of them has) and a bitmap of its set."""
+    them: common (its shingles that any other of them has) and a bitmap of its set; or
+    several, if it stands for several sets: then neither bounds anything."""
     ids = settled(open_sets.select("rep").distinct().join(classes.select("rep", "h1"), "rep"))
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(hinted(ids, BROADCAST_IDS), "rep").select("rep", "h1", "text")
     kind = texts.schema["rep"].dataType.simpleString()
@@ -217,13 +220,15 @@ def bounded(open_sets: DataFrame, classes: DataFrame, docs: DataFrame, id_col: s
             bits = bitmaps(sets, begins)
             lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column("rep"), lists, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(BIT_LONGS)))], ["rep", "shingles", *BIT_LONGS]
+                [b.column("rep"), b.column("h1"), lists, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(BIT_LONGS)))], ["rep", "h1", "shingles", *BIT_LONGS]
             ).filter(meant)
 
-    spelled_out = settled(texts.mapInArrow(tidy(spelled), f"rep {kind}, shingles array<long>, {', '.join(f'{c} long' for c in BIT_LONGS)}").dropDuplicates(["rep"]))
-    once = spelled_out.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).where("rep = last")
-    own = once.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    return spelled_out.join(own, "rep", "left").select("rep", *BIT_LONGS, (F.size("shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+    spelled_out = settled(texts.mapInArrow(tidy(spelled), f"rep {kind}, h1 long, shingles array<long>, {', '.join(f'{c} long' for c in BIT_LONGS)}").dropDuplicates(["rep", "h1"]))
+    who = F.struct("rep", "h1")
+    once = spelled_out.select(who.alias("who"), F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("who").alias("who"), F.max("who").alias("last")).where("who = last")
+    own = once.groupBy("who.rep", "who.h1").agg(F.count(F.lit(1)).alias("own"))
+    each = spelled_out.join(own, ["rep", "h1"], "left").select("rep", "h1", *BIT_LONGS, (F.size("shingles") - F.coalesce("own", F.lit(0))).alias("common"))
+    return each.groupBy("rep").agg((F.min("h1") != F.max("h1")).alias("several"), *[F.max(c).alias(c) for c in ("common", *BIT_LONGS)])
 
 
 def most_shared(a: str, b: str) -> Column:
@@ -236,35 +241,63 @@ def most_shared(a: str, b: str) -> Column:
     return F.least(F.col(f"{a}.n") - only_a, F.col(f"{b}.n") - only_b, f"{a}.common", f"{b}.common")
 
 
+def shipped_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, h, set) of the documents whose (id, h) are in wanted: a set's sorted hashes
+    as bytes. An id that is repeated with other texts has a row for each."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(hinted(wanted.select("id").distinct(), BROADCAST_IDS), "id", "left_semi")
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (p for whole in batches for p in parts(whole)):
+            sets, begins = distinct_sets(b.column("text"), width)
+            marks = set_marks(sets, begins)[0]
+            # Rows that repeat an id and a set are one.
+            first = sorted({x: k for k, x in reversed(list(enumerate(zip(b.column("id").to_pylist(), marks.tolist(), strict=True))))}.values())
+            raw = [sets[begins[k] : begins[k + 1]].tobytes() for k in first]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(first, pa.int64())), pa.array(marks[first]), pa.array(raw, pa.binary())], ["id", "h", "set"])
+
+    return texts.mapInArrow(tidy(spelled), f"id {kind}, h long, set binary")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Of pairs (u, v) of classes, those whose full sets are similar enough."""
-    marks = classes.select("rep", "h1")
-    pairs = settled(pairs.select("u", "v").join(marks.select(F.col("rep").alias("u"), F.col("h1").alias("hu")), "u").join(marks.select(F.col("rep").alias("v"), F.col("h1").alias("hv")), "v"))
-    ids = settled(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(hinted(ids, BROADCAST_IDS), "id", "left_semi")
-    joined = (
-        pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
-        .join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-        .select("u", "v", "hu", "hv", "text_u", "text_v")
-    )
-    kind = joined.schema["u"].dataType.simpleString()
+    """Of pairs (u, v) of classes, those whose full sets are similar enough.
+
+    A pair is turned so that u is the end with more pairs. Its set then goes once to
+    each GROUP of its pairs, and of a pair only v's set moves, as hashes: no text, and
+    no hub's set for every one of its partners.
+    """
+    ends = pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("pairs"))
+    marks = settled(ends.join(classes.select(F.col("rep").alias("id"), F.col("h1").alias("h")), "id"))
+    u, v = (marks.select(F.col("id").alias(x), F.struct("id", "h", "pairs").alias(f"{x}_")) for x in "uv")
+    both = pairs.select("u", "v").join(u, "u").join(v, "v")
+    more = (F.col("u_.pairs") > F.col("v_.pairs")) | ((F.col("u_.pairs") == F.col("v_.pairs")) & (F.col("u") < F.col("v")))
+    turned = both.select(F.when(more, F.col("u_")).otherwise(F.col("v_")).alias("hub"), F.when(more, F.col("v_")).otherwise(F.col("u_")).alias("leaf"))
+    group = F.pmod(F.xxhash64("leaf.id"), F.ceil(F.col("hub.pairs") / GROUP)).alias("part")
+    turned = settled(turned.select(F.col("hub.id").alias("hub"), F.col("hub.h").alias("mark"), group, F.col("leaf.id").alias("id"), F.col("leaf.h").alias("h")))
+    hubs = turned.select("hub", "mark", "part", F.lit(False).alias("other"), F.col("hub").alias("id"), F.col("mark").alias("h")).distinct()
+    needed = settled(hubs.unionByName(turned.withColumn("other", F.lit(True))))
+    rows = needed.join(shipped_sets(docs, marks, id_col, text_col, width), ["id", "h"]).select("hub", "mark", "part", "other", "id", "set")
+    dealt = rows.repartition("hub", "mark", "part").sortWithinPartitions("hub", "mark", "part", "other")
+    kind = rows.schema["id"].dataType.simpleString()
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (q for whole in batches for p in parts(whole, "text_u") for q in parts(p, "text_v")):
-            sides = []
-            for side in "uv":
-                sets, begins = distinct_sets(b.column(f"text_{side}"), width)
-                # An id that is repeated brings other texts along; the mark tells which is meant.
-                sides.append((sets, begins.tolist(), set_marks(sets, begins)[0] == b.column(f"h{side}").to_numpy()))
-            (a, ab, a_ok), (z, zb, z_ok) = sides
+        mine = np.zeros(0, np.uint64)
+        for b in batches:
             keep = np.zeros(b.num_rows, bool)
-            for i in np.flatnonzero(a_ok & z_ok).tolist():
-                x, y = a[ab[i] : ab[i + 1]], z[zb[i] : zb[i + 1]]
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield b.select(["u", "v"]).filter(pa.array(keep))
-
-    return joined.mapInArrow(tidy(similar), f"u {kind}, v {kind}")
+            others, sets = b.column("other").to_pylist(), b.column("set")
+            for k, other in enumerate(others):
+                own = np.frombuffer(sets[k].as_buffer(), np.uint64)
+                if not other:
+                    mine = own.copy()
+                elif min(len(own), len(mine)) * 100 >= percent * max(len(own), len(mine)):
+                    # Of a shared hash the merged row has two, side by side.
+                    merged = np.concatenate([own, mine])
+                    merged.sort(kind="stable")
+                    shared = int((merged[1:] == merged[:-1]).sum())
+                    keep[k] = 100 * shared >= percent * (len(merged) - shared)
+            yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("id")], ["u", "v"]).filter(pa.array(keep))
+
+    return dealt.mapInArrow(tidy(similar), f"u {kind}, v {kind}")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = SIMILAR_PERCENT) -> DataFrame:
@@ -310,11 +343,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     let_go(docs.sparkSession)
     bounds = bounded(x, classes, docs, id_col, text_col, width)
     # Columns known not to be null keep the compiled comparison small enough to be fast.
-    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "common", *LONGS, *BIT_LONGS)]
-    x = settled(x.join(sign, "rep").join(bounds, "rep").join(classes.select("rep", "keys"), "rep").select("key", "rep", "label", "keys", *numbers))
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "common", *LONGS, *BIT_LONGS)] + [F.coalesce("several", F.lit(True)).alias("several")]
+    # Similar sets share percent of either set at least: a class that has fewer shingles
+    # in common with all others together is linked with none, and is compared with none.
+    able = bounds.join(sign.select("rep", "n"), "rep").where(F.col("several") | (F.col("common") * 100 >= F.col("n") * percent)).drop("n")
+    able = settled(able)
+    theirs = classes.join(hinted(able.select("rep"), BROADCAST_IDS), "rep", "left_semi").groupBy("rep").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    x = settled(x.join(sign, "rep").join(able, "rep").join(theirs, "rep").select("key", "rep", "label", "keys", *numbers))
+    still = x.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    x = settled(x.join(still, "key", "left_semi"))
     a, b = x.alias("a"), x.alias("b")
     # Similar sets share percent / (100 + percent) of both sizes together.
-    may_share = most_shared("a", "b") * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
+    may_share = F.col("a.several") | F.col("b.several") | (most_shared("a", "b") * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.label") != F.col("b.label"))
     # A pair that meets under several keys counts at the least of them.
     once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")

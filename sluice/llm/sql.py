@@ -2,6 +2,31 @@
 
 from __future__ import annotations
 
+OP2 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM docs),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id
+       AND least(a.n, b.n) * 100 >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reached AS (
+  SELECT u AS node, u AS goal FROM edges
+  UNION
+  SELECT r.node, e.v FROM reached r JOIN edges e ON e.u = r.goal),
+least_reached AS (SELECT node, min(goal) AS label FROM reached GROUP BY node)
+SELECT doc_id, len(s) AS n_shingles, coalesce(label, doc_id) AS component_id, coalesce(label, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN least_reached ON node = doc_id
+"""
+
 OP4 = r"""
 WITH rows AS (
   SELECT doc_id, row_number() OVER () AS r,
@@ -64,4 +89,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM joined
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4, "op6_quality_rules": OP6}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_neardup": OP2, "op4_exact_dedup": OP4, "op6_quality_rules": OP6}

@@ -54,6 +54,8 @@ SIMILAR_PERCENT = 80
 BROADCAST_IDS = 500_000
 #: Pairs of one document that are confirmed by one task at most, each group with its own copy of that document's set.
 GROUP = 512
+#: Keys that several classes have are broadcast up to this many (8 bytes each).
+BROADCAST_KEYS = 500_000
 #: Bytes of text that are hashed together.
 PART_BYTES = 500_000
 
@@ -223,12 +225,13 @@ def bounded(open_sets: DataFrame, classes: DataFrame, docs: DataFrame, id_col: s
                 [b.column("rep"), b.column("h1"), lists, *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(len(BIT_LONGS)))], ["rep", "h1", "shingles", *BIT_LONGS]
             ).filter(meant)
 
-    spelled_out = settled(texts.mapInArrow(tidy(spelled), f"rep {kind}, h1 long, shingles array<long>, {', '.join(f'{c} long' for c in BIT_LONGS)}").dropDuplicates(["rep", "h1"]))
-    who = F.struct("rep", "h1")
-    once = spelled_out.select(who.alias("who"), F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("who").alias("who"), F.max("who").alias("last")).where("who = last")
-    own = once.groupBy("who.rep", "who.h1").agg(F.count(F.lit(1)).alias("own"))
-    each = spelled_out.join(own, ["rep", "h1"], "left").select("rep", "h1", *BIT_LONGS, (F.size("shingles") - F.coalesce("own", F.lit(0))).alias("common"))
-    return each.groupBy("rep").agg((F.min("h1") != F.max("h1")).alias("several"), *[F.max(c).alias(c) for c in ("common", *BIT_LONGS)])
+    spelled_out = settled(texts.mapInArrow(tidy(spelled), f"rep {kind}, h1 long, shingles array<long>, {', '.join(f'{c} long' for c in BIT_LONGS)}"))
+    # Rows that repeat an id and a set count twice, which leaves a bound that is too high, and safe.
+    once = spelled_out.select("rep", "h1", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("rep").alias("rep"), F.min("h1").alias("h1"), F.count(F.lit(1)).alias("sets")).where("sets = 1")
+    own = once.groupBy("rep", "h1").agg(F.count(F.lit(1)).alias("own"))
+    each = spelled_out.select("rep", "h1", F.size("shingles").alias("size"), *BIT_LONGS).join(own, ["rep", "h1"], "left")
+    common = F.max(F.col("size") - F.coalesce("own", F.lit(0))).alias("common")
+    return each.groupBy("rep").agg((F.min("h1") != F.max("h1")).alias("several"), common, *[F.max(c).alias(c) for c in BIT_LONGS])
 
 
 def most_shared(a: str, b: str) -> Column:
@@ -314,8 +317,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = settled(several.select("u", F.explode("reps").alias("v")).where("u <> v"))
 
     keys = classes.select(F.explode("keys").alias("key"), "rep")
-    shared = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last").select("key", "pivot")
-    met = settled(keys.join(shared, "key"))
+    shared = settled(keys.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key"))
+    sharing = settled(keys.join(hinted(shared, BROADCAST_KEYS), "key"))
+    # Kept apart from the join, so that a hot key's partition can be split.
+    pivots = settled(sharing.groupBy("key").agg(F.min("rep").alias("pivot")))
+    met = sharing.join(hinted(pivots, BROADCAST_KEYS), "key")
 
     def near(pairs: DataFrame) -> DataFrame:
         """pairs (u, v) within the limit, with their distance."""
@@ -337,7 +343,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(links)
 
     # What still meets under a key within the limit, in different groups.
-    grouped = labelled(met.select("key", "rep"), labels, "rep", "label")
+    grouped = labelled(sharing, labels, "rep", "label")
     open_keys = grouped.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
     x = settled(grouped.join(open_keys, "key", "left_semi"))
     let_go(docs.sparkSession)
@@ -347,8 +353,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Similar sets share percent of either set at least: a class that has fewer shingles
     # in common with all others together is linked with none, and is compared with none.
     able = bounds.join(sign.select("rep", "n"), "rep").where(F.col("several") | (F.col("common") * 100 >= F.col("n") * percent)).drop("n")
-    able = settled(able)
-    theirs = classes.join(hinted(able.select("rep"), BROADCAST_IDS), "rep", "left_semi").groupBy("rep").agg(F.flatten(F.collect_list("keys")).alias("keys"))
+    theirs = x.groupBy("rep").agg(F.collect_set("key").alias("keys"))
     x = settled(x.join(sign, "rep").join(able, "rep").join(theirs, "rep").select("key", "rep", "label", "keys", *numbers))
     still = x.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
     x = settled(x.join(still, "key", "left_semi"))

@@ -21,33 +21,44 @@ Extra columns of the input are ignored. Long texts take memory in proportion.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
-
-SYMBOLS = r"[#*$%&|<>]"
-SENTENCE_END = r"[.!?\x{2026}\x{3002}\x{FF01}\x{FF1F}\x{061F}\x{0964}]"
-SHOUT = r"!{2,}"
-SEPARATORS = r"[|\x{00BB}\x{203A}\x{2022}\x{00B7}]"
+SYMBOLS = "#*$%&|<>"
+SENTENCE_ENDS = ".!?\u2026\u3002\uff01\uff1f\u061f\u0964"
+NOISE, SHOUT = r"[#*$%&<>]+(?=[\x20\x09-\x0D]|$)", r"!{2,}"
+SEPARATORS = "|\u00bb\u203a\u2022\u00b7"
 BOILERPLATE_WORDS = 16
 BOILERPLATE = (
     r"(?i)all rights reserved|licen[sc]ed under|copyright|\(c\) ?[0-9]{4}|cookie policy|accept cookies|privacy policy|terms of (use|service)|click here|read more|sign (in|up)|log ?in|subscribe|javascript"
 )
+#: Of each phrase a part in lower case: a text without any of these has no phrase.
+STEMS = ("rights reserved", "ed under", "copyright", "(c)", "cookie", "privacy policy", "terms of", "click here", "read more", "sign in", "sign up", "login", "log in", "subscribe", "javascript")
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_LOST_PERCENT = 50
 
 
-def line_verdict(line: Column, words: Column) -> Column:
-    """The rule that a line of so many words fails, or null."""
-    noise = F.regexp_count(line, F.lit(r"[#*$%&<>]+(?=[\x20\x09-\x0D]|$)")) + F.regexp_count(line, F.lit(SHOUT))
-    cuts = F.regexp_count(line, F.lit(SEPARATORS))
+def has_any(text: Column, parts: Iterable[str]) -> Column:
+    """Whether text holds one of parts, by plain searches of its bytes."""
+    out = F.lit(False)
+    for part in parts:
+        out = out | F.contains(text, F.lit(part))
+    return out
+
+
+def line_verdict(line: Column, words: Column, noisy: Column, cut: Column, phrased: Column) -> Column:
+    """The rule that a line of so many words fails, or null. The last three say whether
+    its document can have noise, separators or phrases at all; patterns run only then."""
+    noise = F.when(noisy, F.regexp_count(line, F.lit(NOISE)) + F.regexp_count(line, F.lit(SHOUT))).otherwise(0)
+    cuts = F.when(cut, F.regexp_count(line, F.lit(f"[{SEPARATORS}]"))).otherwise(0)
     return (
         F.when(words == 0, F.lit(None))
-        .when((cuts >= 3) & (cuts * 10 > words * 2), F.lit("navigation"))
-        .when((noise * 10 > words * 3) | ~line.rlike(SENTENCE_END), F.lit("punctuation"))
-        .when(F.regexp_count(line, F.lit(BOILERPLATE)) * BOILERPLATE_WORDS >= words, F.lit("boilerplate"))
+        .when(cut & (cuts >= 3) & (cuts * 10 > words * 2), F.lit("navigation"))
+        .when((noisy & (noise * 10 > words * 3)) | ~has_any(line, SENTENCE_ENDS), F.lit("punctuation"))
+        .when(phrased & (F.regexp_count(line, F.lit(BOILERPLATE)) * BOILERPLATE_WORDS >= words), F.lit("boilerplate"))
     )
 
 
@@ -69,21 +80,25 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     split = docs.select(
         F.col(id_col).alias("doc_id"),
         text.alias("text"),
-        F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
+        # Each line is cut into words once; put together they are the document's words.
+        F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))).alias("cut"),
     )
     gets = ", ".join(f"get(words, i + {k})" for k in range(window))
-    hashed = split.select(
+    hashed = split.withColumn("words", F.flatten(F.transform("cut", lambda x: x["words"]))).select(
         "doc_id",
-        F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"))).alias("lines"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.transform("cut", lambda x: F.struct(x["line"].alias("line"), F.size(x["words"]).alias("words"))).alias("lines"),
+        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.expr(f"CASE WHEN size(words) > {window} THEN transform(sequence(0, size(words) - {window}), i -> xxhash64({gets})) ELSE array() END").alias("hashes"),
+        has_any(F.col("text"), [*SYMBOLS.replace("|", ""), "!!"]).alias("noisy"),
+        has_any(F.col("text"), SEPARATORS).alias("separated"),
+        has_any(F.lower("text"), STEMS).alias("phrased"),
     )
     counted = hashed.select(
         "*",
         F.expr("CASE WHEN size(array_distinct(hashes)) < size(hashes) THEN array_sort(transform(hashes, (h, i) -> struct(h AS h, i AS i))) ELSE array() END").alias("sorted"),
-        F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), line_verdict(x["line"], x["words"]).alias("failed"))).alias("judged"),
+        F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), line_verdict(x["line"], x["words"], F.col("noisy"), F.col("separated"), F.col("phrased")).alias("failed"))).alias("judged"),
     ).withColumn("worded", F.filter("judged", lambda x: x["words"] > 0))
     summed = counted.select(
         "doc_id",

@@ -64,12 +64,12 @@ judged AS (
   SELECT r, line, n,
          CASE WHEN cuts >= 3 AND cuts * 10 > n * 2 THEN 'navigation'
               WHEN noise * 10 > n * 3 OR NOT regexp_matches(line, '[.!?\x{2026}\x{3002}\x{FF01}\x{FF1F}\x{061F}\x{0964}]') THEN 'punctuation'
-              WHEN n <= 16 AND regexp_matches(line, '(?i)all rights reserved|licen[sc]ed under|copyright|\(c\) ?[0-9]{4}|cookie policy|accept cookies|privacy policy|terms of (use|service)|click here|read more|sign (in|up)|log ?in|subscribe|javascript') THEN 'boilerplate'
+              WHEN 16 * len(regexp_extract_all(line, '(?i)all rights reserved|licen[sc]ed under|copyright|\(c\) ?[0-9]{4}|cookie policy|accept cookies|privacy policy|terms of (use|service)|click here|read more|sign (in|up)|log ?in|subscribe|javascript')) >= n THEN 'boilerplate'
          END AS failed
   FROM lines WHERE n > 0),
 per_doc AS (
   SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines,
-         coalesce(sum(n) FILTER (failed IN ('navigation', 'punctuation')), 0) AS lost_words,
+         coalesce(sum(n) FILTER (failed IS NOT NULL), 0) AS lost_words,
          coalesce(sum(n) FILTER (failed IS NULL), 0) AS left_words,
          count(failed) AS lines_removed
   FROM judged GROUP BY r),

@@ -5,14 +5,15 @@ they may take as many words as all documents have; a source stops at `most` time
 its own size and what it leaves is shared again by weight among the others.
 
 Within a source every document is expected target / size times. The documents
-stand in a fixed order (size class, bucket of the id's hash, size, id), the
+stand in a fixed order (size class, bucket by a digest of id and text, size, id), the
 expected copies are summed from the start of the source, one random offset is
 added, and a document is emitted once for every whole number that its step
 crosses. As the order runs through sizes, the words taken come near the target.
 
 No task holds a source: the order's running counts come from counts per (source,
-size class, bucket), whose number depends on sources and partitions, not on rows,
-and only a bucket's own rows are numbered together.
+size class, bucket), at most BUCKETS per source and class however many rows there
+are, and only a bucket's own rows are numbered together. Rows that share an id, or
+have none, lie in different buckets as their texts differ.
 
 Defined cases: a null or empty text has size 0 and can still be emitted; it takes
 no words. A null source is a source of its own, last in order. Null ids are ids
@@ -27,7 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hinted, ranked, settled, ship_code, tidy, word_counts
@@ -35,23 +36,29 @@ from .common import hinted, ranked, settled, ship_code, tidy, word_counts
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 20_240_229
-#: Offsets are odd multiples of 1 / (2 * STEPS), so that sums with ranks stay exact.
-STEPS = 1024
+#: Buckets and offsets come from the first three hexadecimal digits of a digest. Offsets
+#: are odd multiples of 1 / (2 * BUCKETS), so that sums with ranks stay exact.
+BUCKETS = 4096
 BROADCAST_SOURCES = 100_000
 
 
+def digits(*parts: Column) -> Column:
+    """A number below BUCKETS from the parts' digest; null parts are empty."""
+    return F.conv(F.left(F.md5(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), F.lit(3)), 16, 10).cast("int")
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size (words), tie (the text's hash), kept in the checkpoint folder."""
+    """doc_id, source, size (words), tie (the text's hash), bucket, kept in the checkpoint folder."""
     ship_code(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = pa.array(word_counts(b.column("text")), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "source", "tie")), sizes], ["doc_id", "source", "tie", "size"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "source", "tie", "bucket")), sizes], ["doc_id", "source", "tie", "bucket", "size"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col)).alias("tie"), digits(F.col(id_col), F.col(text_col)).alias("bucket"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return settled(rows.mapInArrow(tidy(count), f"doc_id {kind}, source string, tie long, size long"))
+    return settled(rows.mapInArrow(tidy(count), f"doc_id {kind}, source string, tie long, bucket int, size long"))
 
 
 def source_targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -75,13 +82,12 @@ def source_targets(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
 def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = SEED) -> DataFrame:
     """rows (see `sized`) with source_size, target and how often each is emitted."""
-    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select(
         "*",
         F.col("source").isNull().alias("nil"),
         F.coalesce("source", F.lit("")).alias("src"),
-        F.floor(F.log2(F.col("size") + 1.0) * 2).cast("int").alias("class"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"),
+        # Two classes for each power of two, by the first two binary digits.
+        (F.length(F.bin(F.col("size") + 1)) * 2 + F.coalesce(F.substring(F.bin(F.col("size") + 1), 2, 1).try_cast("int"), F.lit(0))).alias("class"),
     ).drop("source")
     chunk = ["nil", "src", "class", "bucket"]
     # Null-safe join on two plain columns, so that it stays an equi-join.
@@ -89,7 +95,7 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
         F.col("source").isNull().alias("nil"), F.coalesce("source", F.lit("")).alias("src"), "source_size", "target"
     )
     before = Window.partitionBy("nil", "src").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offset = (F.pmod(F.xxhash64(F.lit(seed), "nil", "src"), F.lit(STEPS)) + 0.5) / STEPS
+    offset = (digits(F.lit(seed), F.col("nil").cast("int"), F.col("src")) + 0.5) / float(BUCKETS)
     chunks = (
         rows.groupBy(*chunk)
         .agg(F.count(F.lit(1)).alias("n"))
@@ -110,13 +116,18 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mixed corpus: rows of docs, each as often as it is emitted."""
-    taken = copies(sized(docs, id_col, text_col, source_col), **how).where("copies > 0")
-    # Rows with the same id, text and source share what they are due.
-    due = taken.groupBy(F.col("doc_id").alias("__sl_id"), F.col("tie").alias("__sl_tie"), F.col("source").alias("__sl_source")).agg(F.collect_list("copies").alias("__sl_copies"))
+    """The mixed corpus: rows of docs, each as often as it is emitted. Rows with the same
+    id, text and source share what they are due evenly; who gets one more is decided
+    by a hash of all columns, so that reruns agree."""
+    names = {"doc_id": "__sl_id", "tie": "__sl_tie", "source": "__sl_source"}
+    due = copies(sized(docs, id_col, text_col, source_col), **how).groupBy(*[F.col(c).alias(n) for c, n in names.items()])
+    due = due.agg(F.sum("copies").alias("__sl_due"), F.count(F.lit(1)).alias("__sl_rows")).where("__sl_due > 0")
     marked = docs.withColumn("__sl_hash", F.xxhash64(F.col(text_col)))
     on = F.col(id_col).eqNullSafe(F.col("__sl_id")) & (F.col("__sl_hash") == F.col("__sl_tie")) & F.col(source_col).cast("string").eqNullSafe(F.col("__sl_source"))
-    again = F.row_number().over(Window.partitionBy(F.col(id_col), F.col("__sl_hash"), F.col(source_col)).orderBy(F.lit(1)))
-    joined = marked.join(due, on).withColumn("__sl_own", again)
-    times = F.coalesce(F.get("__sl_copies", F.col("__sl_own") - 1), F.lit(0)).cast("int")
-    return joined.withColumn("__sl_one", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    joined = marked.join(due, on)
+    alone = joined.where("__sl_rows = 1").withColumn("__sl_times", F.col("__sl_due"))
+    whole = F.xxhash64(*[F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    place = F.row_number().over(Window.partitionBy("__sl_id", "__sl_tie", "__sl_source").orderBy(whole))
+    shared = joined.where("__sl_rows > 1").withColumn("__sl_times", F.floor(F.col("__sl_due") / F.col("__sl_rows")) + (place <= F.col("__sl_due") % F.col("__sl_rows")).cast("long"))
+    out = alone.unionByName(shared)
+    return out.withColumn("__sl_one", F.explode(F.array_repeat(F.lit(1), F.col("__sl_times").cast("int")))).select(*docs.columns)

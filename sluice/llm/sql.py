@@ -2,6 +2,38 @@
 
 from __future__ import annotations
 
+OP1 = r"""
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         substr(md5(coalesce(doc_id::VARCHAR, '') || chr(31) || coalesce(text, '')), 1, 3) AS bucket
+  FROM documents),
+classed AS (
+  SELECT *, 2 * length(bin(size + 1)) + coalesce(TRY_CAST(substr(bin(size + 1), 2, 1) AS INT), 0) AS class FROM rows),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
+weighed AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS weight,
+         source_size * 3.0::DOUBLE AS room, (SELECT sum(source_size) FROM sums)::DOUBLE AS total
+  FROM sums),
+levels AS (
+  SELECT *, room / weight AS full_at,
+         (total - coalesce(sum(room) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW o AS (ORDER BY room / weight, source)),
+found AS (SELECT arg_min(level, full_at) FILTER (full_at >= level) AS level FROM levels),
+targets AS (
+  SELECT source, source_size, CASE WHEN full_at < found.level THEN room ELSE weight * found.level END AS target,
+         (('0x' || substr(md5('20240229' || chr(31) || (source IS NULL)::INT::VARCHAR || chr(31) || coalesce(source, '')), 1, 3))::INT + 0.5::DOUBLE) / 4096.0::DOUBLE AS offs
+  FROM levels, found),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, bucket, size, doc_id NULLS FIRST) - 1 AS rank
+  FROM classed),
+stepped AS (
+  SELECT r.*, t.source_size, t.target, t.offs, CASE WHEN t.source_size > 0 THEN least(3.0::DOUBLE, t.target / t.source_size) ELSE 0.0::DOUBLE END AS rate
+  FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source),
+emitted AS (
+  SELECT *, least(floor(offs + (rank + 1) * rate) - floor(offs + rank * rate), ceil(rate))::BIGINT AS copies FROM stepped)
+SELECT doc_id, size::BIGINT AS size, source_size, target, copies * size AS taken, source, copies FROM emitted
+"""
+
 OP2 = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -89,4 +121,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM joined
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_minhash_neardup": OP2, "op4_exact_dedup": OP4, "op6_quality_rules": OP6}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_minhash_neardup": OP2, "op4_exact_dedup": OP4, "op6_quality_rules": OP6}

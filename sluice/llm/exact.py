@@ -4,7 +4,7 @@ A Misra-Gries style frequent-items sketch (approx_top_k, partial on each task
 and merged) names the digests that may be frequent. Exact partial counts verify
 them; the verified winners, at most `counters` of them by the sketch's
 construction, are broadcast and their rows are settled on the map side. Only the
-remaining digests, none of which can be frequent, go through a shuffle.
+remaining digests go through a shuffle, summed per digest before it.
 
 Defined cases: a null text is the empty text, so null and empty texts are equal.
 Null ids come after all others. Repeated rows are rows of their own: of a group
@@ -14,15 +14,17 @@ empty result. Extra columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_spaced, settled
+from .common import hinted, one_spaced, settled
 
 #: Counters of the sketch: a digest with more than about 1/counters of all rows is found.
 COUNTERS = 1024
 #: A verified winner has at least this share of all rows.
 HEAVY_SHARE = 1 / 512
+#: Groups of two and more that aren't heavy are broadcast up to this many (about 100 bytes each).
+BROADCAST_GROUPS = 100_000
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, heavy_share: float = HEAVY_SHARE) -> DataFrame:
@@ -60,11 +62,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .drop("least")
     )
     settled_here = rows.join(F.broadcast(heavy), "digest")
-    group = Window.partitionBy("digest")
-    shuffled = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").withColumns(
-        {"first": first.over(group), "group_size": F.count(F.lit(1)).over(group)}
-    )
-    return settled_here.unionByName(shuffled).select(
+    rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    # Partial sums before the shuffle, kept apart from the join back, whose large
+    # partitions can then be split. A digest that occurs once is its own group.
+    groups = settled(rest.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"))
+    alone = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row")
+    shuffled = rest.join(hinted(groups, BROADCAST_GROUPS), "digest", "left").withColumns({"first": F.coalesce("first", alone), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
+    return settled_here.unionByName(shuffled.select(*settled_here.columns)).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
@@ -74,8 +78,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay. Where a kept id is repeated, its first text stays."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__sl_id"), F.col("text_sha256").alias("__sl_sha")).distinct()
-    marked = docs.withColumn("__sl_sha", F.sha2(one_spaced(F.col(text_col)), 256))
-    on = F.col(id_col).eqNullSafe(F.col("__sl_id")) & (marked["__sl_sha"] == kept["__sl_sha"])
-    return marked.join(kept, on, "left_semi").drop("__sl_sha").dropDuplicates([id_col, text_col])
+    """The rows of docs that stay: of each group of equal texts one row of its least id.
+    Where that id is repeated within the group, the first text by code point stays, and
+    of rows that have the same text too, the first by a hash of their columns."""
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__sl_id"), F.col("text_sha256").alias("__sl_sha"))
+    marked = docs.select(F.struct("*").alias("__sl_row"), F.sha2(one_spaced(F.col(text_col)), 256).alias("__sl_sha"))
+    row = F.col("__sl_row")
+    of_kept = marked.join(kept, row[id_col].eqNullSafe(F.col("__sl_id")) & (marked["__sl_sha"] == kept["__sl_sha"]), "left_semi")
+    plain = [row[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    one = F.min_by("__sl_row", F.struct(row[text_col], F.xxhash64(*plain))).alias("__sl_row")
+    return of_kept.groupBy("__sl_sha").agg(one).select("__sl_row.*")

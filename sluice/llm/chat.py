@@ -18,7 +18,7 @@ A turn's rendering depends on that turn alone, so turns are formatted where they
 lie, in parallel; a conversation is its turns' renderings one after another.
 
 Defined cases: a null text or role is the empty one. Turns are ordered by number,
-nulls first, then role and text; repeated turns all count. A null conversation id
+nulls first, then role and rendered text; repeated turns all count. A null conversation id
 is an id like others. An empty table gives an empty result. Extra columns of the
 input are ignored. A very long conversation is read as a stream and never held.
 """

@@ -34,13 +34,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let_go, process_cache, ship_code, tidy
 
 UND = "und"
 PER_LANGUAGE = 150
+#: The sample's other bounds: labels, the most frequent first, and characters in all.
+MOST_LANGUAGES, MOST_CHARS = 256, 4_000_000
 #: Held out: crc32 of the id as text, modulo FOLDS, is HELD_OUT.
 FOLDS, HELD_OUT = 4, 2
 BUCKETS = 1 << 15
@@ -218,8 +220,11 @@ class Tagger:
                 size += len(texts[end] or "")
                 end += 1
             p, first = self.word_probabilities(texts[at:end])
-            sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(p, axis=0)])
-            mass, n = sums[first[1:]] - sums[first[:-1]], np.diff(first)
+            # Each text is summed on its own, so that its score depends on it alone.
+            n = np.diff(first)
+            mass = np.zeros((len(n), len(self.languages)))
+            if len(p):
+                mass[n > 0] = np.add.reduceat(p, first[:-1][n > 0], axis=0)
             for m, k in zip(mass, n.tolist(), strict=True):
                 best = int(m.argmax()) if k else 0
                 yield (self.languages[best], min(1.0, max(0.0, float(m[best] / k)))) if k else (UND, 0.0)
@@ -290,17 +295,27 @@ def fold(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """(text, lang): about per_language documents of every language, at most twice as
-    many in all, from the folds that aren't held out."""
-    usable = docs.where((fold(id_col) != HELD_OUT) & F.col(lang_col).isNotNull())
-    sizes = usable.groupBy(F.col(lang_col).alias("lang")).count().collect()  # one row per language
+def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(text, lang): about per_language documents of each of the most_languages most
+    frequent labels, at most twice as many in all, from the folds that aren't held out.
+    They are taken in the order of their ids' hashes as long as their whole texts
+    together have most_chars characters at most (the first one always)."""
+    usable = docs.where((fold(id_col) != HELD_OUT) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    usable = usable.select(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)).alias("place"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not sizes:
-        return usable.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).limit(0)
-    rate = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))]), F.col(lang_col))
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = usable.where(F.col(text_col).isNotNull() & (place < rate)).select(place.alias("place"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return chosen.orderBy("place", "text").limit(2 * per_language * len(sizes)).select("text", "lang")
+        return usable.select("text", "lang").limit(0)
+    rate = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))]), F.col("lang"))
+    drawn = usable.where(F.col("lang").isin(*[r["lang"] for r in sizes]) & (F.col("place") < rate * (1 << 30)))
+    # Which rows fit is settled on narrow rows, as few as the sample has; texts follow.
+    spots = drawn.select("place", F.xxhash64("text").alias("tie"), F.length("text").alias("chars")).orderBy("place", "tie").limit(2 * per_language * len(sizes))
+    so_far = F.sum("chars").over(Window.orderBy("place", "tie").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = spots.withColumn("so_far", so_far).where((F.col("so_far") <= most_chars) | (F.col("so_far") == F.col("chars")))
+    last = fitting.agg(F.max(F.struct("place", "tie")).alias("last")).first()["last"]
+    if last is None:
+        return usable.select("text", "lang").limit(0)
+    inside = (F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.xxhash64("text") <= last["tie"]))
+    return drawn.where(inside).orderBy("place", "text").limit(2 * per_language * len(sizes)).select("text", "lang")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Tagger | None:

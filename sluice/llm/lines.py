@@ -3,20 +3,25 @@
 A line's hash ignores white space at its ends and runs of it inside. From every
 line of a document a window of lines begins that has at least LEAST words (the
 fewest lines that do; lines without words don't count), and at every line such a
-window ends. The least hash of a window is its fingerprint.
-
-A window that occurs before (order: id, text hash, place), anywhere, is deleted
-whole. That deletes exactly the lines that lie in a run of whole lines, of LEAST
-words or more, that occurs before: a line of such a run lies in the window that
-begins there, if that ends within the run, and else in the window that ends with
-the run. Both have occurred before with the run, and what makes a window the
-shortest is in its own lines, so it is a window there too. So no run has to be
-extended, and its longer variants need no partner of their own.
-
-Windows are grouped by their fingerprint and their whole lines' hash together, 128
-bits: the fingerprint alone would pair texts that share a common short line only,
-and the pairs of a hot passage grow with its square. Partial sums come before the
-shuffle, so that there are as many rows as windows, however often a run is repeated.
+window ends. The line with a window's least hash is a fingerprint; a document gives
+each of its fingerprints once, with the windows that chose it. Two documents that
+share a run of LEAST words or more share a window, hence a fingerprint.
+
+1. Fingerprints are counted by hash. Those that occur once, which are most, go, and
+   their windows with them: only positions that meet another one are looked at again.
+2. At the positions left, a match is extended both ways, window by window around the
+   fingerprint: a window that occurs before (order: id, text hash, place), anywhere, is
+   deleted whole. That deletes exactly the lines that lie in a run of whole lines, of
+   LEAST words or more, that occurs before: a line of such a run lies in the window
+   that begins there, if that ends within the run, and else in the window that ends
+   with the run. Both have occurred before with the run, and what makes a window the
+   shortest is in its own lines, so it is a window there too. A passage's longer
+   variants therefore need no partner of their own.
+
+In step 2 windows are told apart by fingerprint and whole lines' hash, 128 bits, and
+each is compared with its first occurrence alone: a line that many documents share
+costs a row for each of its windows, not their pairs. Partial sums come before both
+shuffles, and joins are with tables of their own, so that large partitions can be split.
 
 Defined cases: a null text has no lines and stays null; an empty text stays empty.
 Rows with the same id and the same text are one document: they are edited alike
@@ -36,10 +41,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, ship_code, tidy
+from .common import hinted, settled, ship_code, small_enough, tidy
 
 #: Words that a repeated run has at least.
 LEAST = 50
+#: Fingerprints (8 bytes each) and ids with their texts' hashes (16 bytes or an id's length) are broadcast up to this many.
+BROADCAST_PRINTS, BROADCAST_IDS = 500_000, 500_000
 
 
 def line_marks(text: str) -> tuple[list[int], list[int]]:
@@ -52,9 +59,10 @@ def line_marks(text: str) -> tuple[list[int], list[int]]:
     return marks, sizes
 
 
-def windows(marks: list[int], sizes: list[int], least: int) -> Iterator[tuple[int, tuple[int, int], int]]:
-    """(fingerprint, first and last place, window's hash) of each window over the worded
-    lines: the shortest that begin at a line, and the shortest that end at one."""
+def windows(marks: list[int], sizes: list[int], least: int) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(hash, place, windows) of each fingerprint over the worded lines. windows: (first
+    place, last place, hash) of those that chose it: the shortest that begin at a line,
+    and the shortest that end at one. Of equal least hashes the last place is chosen."""
     places = [i for i, n in enumerate(sizes) if n]
     spans = set()
     end = words = 0
@@ -74,18 +82,25 @@ def windows(marks: list[int], sizes: list[int], least: int) -> Iterator[tuple[in
             begin += 1
         if words >= least:
             spans.add((begin, end + 1))
-    lines = np.array([marks[i] for i in places], np.int64)
+    own = [marks[i] for i in places]
+    raw = np.array(own, np.int64).tobytes()
+    chosen: dict[int, list[tuple[int, int, int]]] = {}
     for begin, end in sorted(spans):
-        window = lines[begin:end]
-        yield int(window.min()), (places[begin], places[end - 1]), xxhash.xxh3_64_intdigest(window.tobytes()) - (1 << 63)
+        at = min(range(begin, end), key=lambda k: (own[k], -k))
+        chosen.setdefault(at, []).append((places[begin], places[end - 1], xxhash.xxh3_64_intdigest(raw[8 * begin : 8 * end]) - (1 << 63)))
+    for at, found in chosen.items():
+        yield own[at], places[at], found
+
+
+WINDOW = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("window", pa.int64())])
+PRINT = pa.struct([("print", pa.int64()), ("place", pa.int32()), ("windows", pa.list_(WINDOW))])
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """Per document (id and text): doc_id, tie, prints (its windows' fingerprints, first
-    and last places among the worded lines and hashes)."""
+    """Per document (id and text): doc_id, tie, prints (its fingerprints: hash, place
+    among the worded lines, windows)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    print_kind = pa.struct([("print", pa.int64()), ("place", pa.int32()), ("end", pa.int32()), ("window", pa.int64())])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,10 +108,10 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataF
             for text in b.column("text").to_pylist():
                 both = [(m, n) for m, n in zip(*line_marks(text), strict=True) if n]
                 m, n = [x[0] for x in both], [x[1] for x in both]
-                prints.append([{"print": p, "place": i, "end": z, "window": w} for p, (i, z), w in windows(m, n, least)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(prints, pa.list_(print_kind))], ["doc_id", "tie", "prints"])
+                prints.append([{"print": p, "place": i, "windows": [{"begin": a, "end": z, "window": w} for a, z, w in found]} for p, i, found in windows(m, n, least)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(prints, pa.list_(PRINT))], ["doc_id", "tie", "prints"])
 
-    return rows.mapInArrow(tidy(marked), f"doc_id {kind}, tie long, prints array<struct<print: long, place: int, end: int, window: long>>")
+    return rows.mapInArrow(tidy(marked), f"doc_id {kind}, tie long, prints array<struct<print: long, place: int, windows: array<struct<begin: int, end: int, window: long>>>>")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -104,26 +119,38 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     among its worded lines, of those to delete)."""
     ship_code(docs.sparkSession)
     table = settled(line_table(docs, id_col, text_col, least))
-    prints = table.select("doc_id", "tie", F.explode("prints").alias("p")).select("doc_id", "tie", "p.print", "p.place", "p.end", "p.window")
-    spot = F.struct("doc_id", "tie", "place")
-    # Kept apart from the join, so that the join's large partitions can be split.
-    firsts = settled(prints.groupBy("print", "window").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("print", "window", "first"))
+    prints = table.select("doc_id", "tie", F.explode("prints").alias("p")).select("doc_id", "tie", "p.print", "p.windows")
+    # 1. Fingerprints that occur at several positions.
+    shared = settled(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"))
+    met = settled(prints.join(hinted(shared, BROADCAST_PRINTS), "print"))
+    # 2. Their windows, as far as these occur before.
+    around = met.select("doc_id", "tie", "print", F.explode("windows").alias("w")).select("doc_id", "tie", "print", "w.begin", "w.end", "w.window")
+    spot = F.struct("doc_id", "tie", "begin")
+    firsts = settled(around.groupBy("print", "window").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").select("print", "window", "first"))
     later = (
-        prints.join(firsts, ["print", "window"])
-        .where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie")) & (F.col("place") == F.col("first.place"))))
-        .select("doc_id", "tie", "place", "end")
+        around.join(firsts, ["print", "window"])
+        .where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie")) & (F.col("begin") == F.col("first.begin"))))
+        .select("doc_id", "tie", "begin", "end")
     )
-    spans = F.collect_set(F.struct("place", "end"))
-    return later.groupBy("doc_id", "tie").agg(F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["place"], x["end"]))))).alias("gone"))
+    spans = F.collect_set(F.struct("begin", "end"))
+    return later.groupBy("doc_id", "tie").agg(F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["begin"], x["end"]))))).alias("gone"))
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """docs, every column as it was, with __sl_text (the text without repeated runs),
     __sl_lines (worded lines deleted) and __sl_words (their words)."""
     gone = repeated_lines(docs, id_col, text_col, least).withColumnsRenamed({"doc_id": "__sl_id", "tie": "__sl_tie", "gone": "__sl_gone"})
+    gone = settled(gone)
     marked = docs.withColumn("__sl_hash", F.xxhash64(F.col(text_col)))
     on = F.col(id_col).eqNullSafe(F.col("__sl_id")) & (F.col("__sl_hash") == F.col("__sl_tie"))
-    joined = marked.join(gone, on, "left").drop("__sl_id", "__sl_tie", "__sl_hash")
+    # Only texts that lose lines move and go through Python, where their ids can be broadcast.
+    ids = gone.select("__sl_id", "__sl_tie")
+    if small_enough(ids, BROADCAST_IDS):
+        losing, same = marked.join(F.broadcast(ids), on, "left_semi").join(gone, on), marked.join(F.broadcast(ids), on, "left_anti")
+    else:
+        joined = marked.join(gone, on, "left")
+        losing, same = joined.where("__sl_gone IS NOT NULL"), joined.where("__sl_gone IS NULL")
+    extra = ["__sl_id", "__sl_tie", "__sl_hash", "__sl_gone"]
 
     @F.arrow_udf("struct<text string, lines long, words long>")
     def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
@@ -143,11 +170,9 @@ def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out.append({"text": whole if whole.strip() else "", "lines": len(drop), "words": words})
         return pa.array(out, pa.struct([("text", pa.string()), ("lines", pa.int64()), ("words", pa.int64())]))
 
-    # Only texts that lose lines go through Python.
-    some = F.col("__sl_gone").isNotNull()
-    changed = joined.where(some).withColumn("__sl_cut", cut(F.col(text_col), F.col("__sl_gone")))
-    changed = changed.withColumns({"__sl_text": F.col("__sl_cut.text"), "__sl_lines": F.col("__sl_cut.lines"), "__sl_words": F.col("__sl_cut.words")}).drop("__sl_cut", "__sl_gone")
-    same = joined.where(~some).drop("__sl_gone").withColumns({"__sl_text": F.col(text_col), "__sl_lines": F.lit(0).cast("long"), "__sl_words": F.lit(0).cast("long")})
+    changed = losing.withColumn("__sl_cut", cut(F.col(text_col), F.col("__sl_gone")))
+    changed = changed.withColumns({"__sl_text": F.col("__sl_cut.text"), "__sl_lines": F.col("__sl_cut.lines"), "__sl_words": F.col("__sl_cut.words")}).drop("__sl_cut", *extra)
+    same = same.drop(*extra).withColumns({"__sl_text": F.col(text_col), "__sl_lines": F.lit(0).cast("long"), "__sl_words": F.lit(0).cast("long")})
     return changed.unionByName(same)
 
 

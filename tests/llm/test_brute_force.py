@@ -231,11 +231,21 @@ def test_windows_see_every_long_run():
         if sum(sizes[a:z]) < 50:
             continue
         other = [rng.randrange(10**9) for _ in range(4)]
-        mine = {(p, w) for p, _, w in lines.windows(marks, sizes, 50)}
-        theirs = {(p, w) for p, _, w in lines.windows(other + marks[a:z] + other, [7] * 4 + sizes[a:z] + [7] * 4, 50)}
+        mine = {(p, w[2]) for p, _, found in lines.windows(marks, sizes, 50) for w in found}
+        theirs = {(p, w[2]) for p, _, found in lines.windows(other + marks[a:z] + other, [7] * 4 + sizes[a:z] + [7] * 4, 50) for w in found}
         assert mine & theirs
 
 
+def test_few_fingerprints_stand_for_all_windows():
+    """Of lines of 5 words a window has 10, and about 2 in 11 lines are chosen."""
+    rng = random.Random(12)
+    marks = [rng.randrange(10**12) for _ in range(4000)]
+    found = list(lines.windows(marks, [5] * len(marks), 50))
+    assert sorted(w[0] for _, _, own in found for w in own) == list(range(len(marks) - 9))
+    assert all(a <= place <= z and marks[place] == min(marks[a : z + 1]) for _, place, own in found for a, z, _ in own)
+    assert len({place for _, place, _ in found}) == len(found) < 0.25 * len(marks)
+
+
 # 6. Quality
 
 

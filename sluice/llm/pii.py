@@ -2,21 +2,30 @@
 
 Entities are found by one pattern: e-mail addresses, telephone numbers, IPv4
 addresses, payment cards, social security numbers, IBANs, access keys, secrets
-after words such as password=, and names after a title. Each is replaced by a
-surrogate drawn from a keyed hash of its canonical form and its kind:
-
-- same type and format: digits stay digits, letters stay letters of their script
-  and case, punctuation stays; octets stay octets; a card keeps its first digit and,
-  if it had a valid check digit, gets one; an address keeps its top-level domain;
-- names keep their title, and given names come from a list of the title's gender in
-  the name's script;
-- one entity always gets one surrogate, however it is spaced, punctuated or cased,
-  in every document; addresses of one domain share their surrogate domain.
-
-Distinct entities stay distinct: all entities are gathered once, as sums per
-canonical form, and a surrogate that two of them would share, or that is itself an
-entity of the corpus, is drawn again with the next attempt number, until none is
-left. Only those exceptions are joined back; all others follow from the key.
+after words such as password=, and names after a title (up to five words, with
+particles, hyphens, apostrophes and initials).
+
+An entity is made of units, and each unit's surrogate is drawn from a keyed hash of
+its canonical form and kind alone:
+
+- an address has its local part and its domain, which all addresses there share;
+- a name has its given names and its surname, which all names with it share, so that
+  Mr John Smith and Mr Smith stay the same family;
+- any other entity is one unit.
+
+Surrogates have the same type and format: digits stay digits, letters stay letters of
+their script and case, punctuation stays; octets stay octets; a card keeps its first
+digit and, if it had a valid check digit, gets one; an address keeps its top-level
+domain, a number its country code, a name its title and particles. Given names come
+from a list of the title's gender in the name's script, surnames are made up in that
+script. Letters of scripts that have no alphabet here become Latin ones. A secret
+without any letter or digit gets letters and digits.
+
+Distinct entities stay distinct: all units are gathered once, as sums per canonical
+form, and a surrogate that two of them would share, or that is itself a unit of the
+corpus, is drawn again with the next attempt number, until none is left. Only those
+exceptions are joined back; all others follow from the key. Names without a title
+aren't found, nor is what repeats a name without it.
 
 Defined cases: a null text stays null and has no entities; an empty one stays
 empty. Rows with the same text get the same text. Null ids need no care: rows are
@@ -26,21 +35,24 @@ input are ignored by with_surrogates unless named in keep.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hinted, settled
+from .common import hinted, settled, small_enough
 
 KEY = "sluice-surrogates-1"
 #: After so many attempts each, a surrogate gets one letter or digit more than the
 #: format has: where a format's space is nearly used up, distinctness comes first.
 PATIENCE = 6
-#: Exceptions are broadcast up to this many.
+#: More rounds than this would mean that a format can't grow, which is an error.
+MOST_ROUNDS = 60
+#: Exceptions are broadcast up to this many, in all texts together.
 BROADCAST_EXCEPTIONS = 200_000
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+LETTER = r"\p{L}\p{M}"
+EMAIL = rf"(?<![{LETTER}\p{{N}}._%+-])[{LETTER}\p{{N}}._%+-]++@(?:[{LETTER}\p{{N}}-]+\.)+\p{{L}}{{2,}}"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.\d)"
@@ -49,21 +61,57 @@ SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 ACCESS_KEY = r"(?<!\w)A(?:KI|SI)A[0-9A-Z]{16}(?!\w)"
 SECRET = r"(?i:(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key)) ?[=:] ?\"?[^\s\"]{6,}\"?"
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
-NAME = rf"(?<!\w)(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\w)"
+MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος", "Κος")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία", "Κα")
+PARTICLES = ("af", "al", "bin", "ben", "da", "das", "de", "del", "della", "den", "der", "di", "do", "dos", "du", "el", "ibn", "la", "le", "ten", "ter", "van", "von", "y", "zu", "zur")
+#: A name's word: a capital and letters, parts after hyphens, and after apostrophes with a capital.
+NAME_WORD = rf"\p{{Lu}}(?:[{LETTER}]+|['’]\p{{Lu}}[{LETTER}]*)(?:-[{LETTER}]+|['’]\p{{Lu}}[{LETTER}]*)*"
+#: Scripts without capitals: two or three characters where words aren't parted, else one or two words.
+PLAIN_NAME = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]{2,3}|\p{Lo}[\p{Lo}\p{M}]+(?: \p{Lo}[\p{Lo}\p{M}]+)?"
+NAME = rf"(?<![{LETTER}\p{{N}}_])(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? (?:(?:(?:{NAME_WORD}|\p{{Lu}}\.|{'|'.join(PARTICLES)}) ){{0,4}}{NAME_WORD}(?![{LETTER}\p{{N}}_])|{PLAIN_NAME})"
 KINDS = {"email": EMAIL, "secret": SECRET, "key": ACCESS_KEY, "iban": IBAN, "ip": IP, "card": CARD, "ssn": SSN, "phone": PHONE, "name": NAME}
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 
-GIVEN = {
-    ("m", "latin"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Noah", "Oscar", "Paul"),
-    ("f", "latin"): ("Anna", "Bella", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Irene", "Julia", "Klara", "Laura", "Maria", "Nora", "Olivia", "Paula"),
-    ("m", "cyrillic"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл"),
-    ("f", "cyrillic"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Ксения", "Мария", "Нина"),
-}
-VOWELS, CONSONANTS = {"latin": "aeiou", "cyrillic": "аеиоу"}, {"latin": "bdfgklmnprstvz", "cyrillic": "бвгдзклмнпрст"}
-ALPHABETS = (("0", "9", "0123456789"), ("a", "z", "abcdefghijklmnopqrstuvwxyz"), ("A", "Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("а", "я", "абвгдежзийклмнопрстуфхцчшщъыьэюя"), ("А", "Я", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"), ("α", "ω", "αβγδεζηθικλμνξοπρστυφχψω"), ("Α", "Ω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"))
-HEX = "0123456789abcdef"
+SCRIPTS = ("latin", "cyrillic", "greek")
+MALE_NAMES = (
+    "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Noah Oscar Paul",
+    "Антон Борис Виктор Глеб Денис Егор Иван Кирилл",
+    "Αλέξης Γιάννης Κώστας Νίκος Πέτρος Σπύρος Τάσος Χρήστος",
+)
+FEMALE_NAMES = (
+    "Anna Bella Clara Diana Emma Flora Greta Helena Irene Julia Klara Laura Maria Nora Olivia Paula",
+    "Анна Вера Дарья Елена Ирина Ксения Мария Нина",
+    "Άννα Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Σοφία Χαρά",
+)
+VOWELS, CONSONANTS = ("aeiou", "аеиоу", "αεηιου"), ("bdfgklmnprstvz", "бвгдзклмнпрст", "βγδκλμνπρστ")
+#: First and last character of a range, and what its characters are replaced with.
+ALPHABETS = (
+    ("0", "9", "0123456789"),
+    ("a", "z", "abcdefghijklmnopqrstuvwxyz"),
+    ("A", "Z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("а", "я", "абвгдежзийклмнопрстуфхцчшщъыьэюя"),
+    ("А", "Я", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"),
+    ("α", "ω", "αβγδεζηθικλμνξοπρστυφχψω"),
+    ("Α", "Ω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    ("À", "Þ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"),
+    ("ß", "ÿ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"),
+    ("ά", "ί", "άέήί"),
+    ("ό", "ώ", "όύώ"),
+    ("Ά", "Ώ", "ΆΈΉΊΌΎΏ"),
+    ("ѐ", "ӿ", "ёђѓєѕіїјљњћќўџ"),
+    ("Ѐ", "Џ", "ЁЂЃЄЅІЇЈЉЊЋЌЎЏ"),
+    ("א", "ת", "אבגדהוזחטיכלמנסעפצקרשת"),
+    ("ء", "ي", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    ("अ", "ह", "कखगघचछजझटठडढतथदधनपफबभमयरलवशसह"),
+    ("ぁ", "ゖ", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ"),
+    ("ァ", "ヺ", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ"),
+    ("가", "힣", "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추쿠투푸후"),
+    ("㐀", "鿿", "安白蔡曹陈程丁董杜范方冯高郭韩何胡黄江姜金孔李梁林刘陆罗吕马孟潘彭秦沈宋孙唐田王魏吴夏谢徐许杨叶于余袁张赵郑周朱"),
+)
+#: Latin letters beyond these ranges, by case.
+OTHER_LOWER, OTHER_UPPER = "āăąćčďđēęěğģīįķļłńņňōőœŕřśşšťţūůűųźżž", "ĀĂĄĆČĎĐĒĘĚĞĢĪĮĶĻŁŃŅŇŌŐŒŔŘŚŞŠŤŢŪŮŰŲŹŻŽ"
+HEX, PLAIN = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789"
+MARK = "\x1f"
 
 
 def kind_of(e: Column) -> Column:
@@ -87,50 +135,83 @@ def secret_value(e: Column) -> Column:
     return F.regexp_extract(e, r"[=:] ?\"?([^\s\"]+)", 1)
 
 
-def canonical(e: Column, kind: Column) -> Column:
-    """What stays the same of an entity however it is written."""
+def _lower_words(e: Column) -> Column:
+    """A name's words but title and particles, in lower case."""
+    return F.filter(F.split(F.lower(F.regexp_replace(e, r"\A\S+ ", "")), " "), lambda w: ~w.isin(*PARTICLES))
+
+
+def units(e: Column, kind: Column) -> Column:
+    """What an entity is made of: structs of kind and canonical form, which is the same
+    however the entity is spaced, punctuated or cased."""
+
+    def unit(name: Column | str, canon: Column) -> Column:
+        return F.struct((F.lit(name) if isinstance(name, str) else name).alias("kind"), canon.alias("canon"))
+
+    words = _lower_words(e)
+    gender = F.when(F.rtrim(F.regexp_extract(e, r"\A(\S+) ", 1), F.lit(".")).isin(*MALE), F.lit("given-m")).otherwise(F.lit("given-f"))
+    surname = unit("surname", F.element_at(words, -1))
+    bare = F.lower(F.regexp_replace(e, r"[^\p{L}\p{N}]", ""))
     return (
-        F.when(kind == "secret", secret_value(e))
-        .when(kind == "ip", e)
-        .when(kind == "email", F.lower(e))
-        .when(kind == "name", F.lower(F.regexp_replace(e, r"\A\S+ ", "")))
-        .otherwise(F.lower(F.regexp_replace(e, r"[^\p{L}\p{N}]", "")))
+        F.when(kind == "email", F.array(unit("email", F.lower(e)), unit("domain", F.lower(F.regexp_extract(e, r"@(.*)\z", 1)))))
+        .when(kind == "name", F.when(F.size(words) > 1, F.array(unit(gender, F.array_join(words, " ")), surname)).otherwise(F.array(surname)))
+        .when(kind == "secret", F.array(unit(kind, secret_value(e))))
+        .when(kind == "ip", F.array(unit(kind, e)))
+        .when((kind == "phone") & e.startswith("+"), F.array(unit(kind, F.concat(F.lit("+"), bare))))
+        .otherwise(F.array(unit(kind, bare)))
     )
 
 
-def draw(seed: Column, i: Column, letters: str) -> Column:
-    return F.substring(F.lit(letters), (F.pmod(F.xxhash64(seed, i), F.lit(len(letters))) + 1).cast("int"), F.lit(1))
+def table(parts: Iterable[str]) -> Column:
+    """Fixed texts as an array, which the optimiser makes one literal of."""
+    return F.split(F.lit("|".join(parts)), r"\|")
+
+
+def draw(seed: Column, i: Column, letters: Column) -> Column:
+    """The letter that seed and i draw from letters."""
+    return F.get(F.transform(F.array(letters), lambda x: F.substring(x, (F.pmod(F.xxhash64(seed, i), F.length(x)) + 1).cast("int"), F.lit(1))), 0)
+
+
+def alphabet_of(c: Column) -> Column:
+    """What a letter or digit is replaced with. Letters of no range here become Latin ones."""
+    n = len(ALPHABETS)
+    lows, highs = ("".join(x[k] for x in ALPHABETS) for k in (0, 1))
+    inside = F.get(F.filter(F.sequence(F.lit(1), F.lit(n)), lambda k: (c >= F.substring(F.lit(lows), k, F.lit(1))) & (c <= F.substring(F.lit(highs), k, F.lit(1)))), 0)
+    beyond = F.when(c.rlike(r"\p{IsLatin}"), F.when(c != F.lower(c), F.lit(n + 2)).otherwise(F.lit(n + 1))).when(c.rlike(r"\p{L}"), F.lit(2)).otherwise(F.lit(1))
+    return F.element_at(table([x[2] for x in ALPHABETS] + [OTHER_LOWER, OTHER_UPPER]), F.coalesce(inside, beyond))
 
 
 def substituted(s: Column, seed: Column) -> Column:
     """s with every digit or letter drawn anew from its own alphabet."""
+    return F.array_join(F.transform(F.split(s, ""), lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]"), draw(seed, i, alphabet_of(c))).otherwise(c)), "")
 
-    def one(c: Column, i: Column) -> Column:
-        out = None
-        for low, high, letters in ALPHABETS:
-            test, made = (c >= low) & (c <= high), draw(seed, i, letters)
-            out = F.when(test, made) if out is None else out.when(test, made)
-        return out.otherwise(c)
 
-    return F.array_join(F.transform(F.split(s, ""), one), "")
+def drawn_anew(s: Column, seed: Column, letters: str) -> Column:
+    """s with every character drawn from letters."""
+    return F.array_join(F.transform(F.split(s, ""), lambda c, i: draw(seed, i, F.lit(letters))), "")
 
 
-def hexed(s: Column, seed: Column) -> Column:
-    """A hexadecimal s with every digit drawn anew, in lower case where it has any."""
-    made = F.array_join(F.transform(F.split(s, ""), lambda c, i: draw(seed, i, HEX)), "")
-    return F.when(s == F.lower(s), made).otherwise(F.upper(made))
+def secret_text(value: Column, seed: Column) -> Column:
+    made = drawn_anew(value, seed, HEX)
+    return (
+        F.when(value.rlike(r"\A[0-9a-f]+\z"), made)
+        .when(value.rlike(r"\A[0-9A-F]+\z"), F.upper(made))
+        .when(~value.rlike(r"[\p{L}\p{N}]"), drawn_anew(value, seed, PLAIN))
+        .otherwise(substituted(value, seed))
+    )
 
 
 def filled(shape: Column, content: Column) -> Column:
-    """shape with its digits and letters replaced in order by content's, in shape's case."""
+    """shape with its digits and letters replaced in order by content's, in shape's case,
+    and the rest of content, if it has more, at the end."""
+    letters = F.regexp_replace(content, r"[^\p{L}\p{N}]", "")
 
     def put(acc: Column, c: Column) -> Column:
-        own = F.substring(content, acc["k"] + 1, F.lit(1))
-        cased = F.when(c != F.lower(c), F.upper(own)).otherwise(F.lower(own))
+        own = F.substring(letters, acc["k"] + 1, F.lit(1))
+        cased = F.when(c != F.lower(c), F.upper(own)).otherwise(own)
         is_own = c.rlike(r"[\p{L}\p{N}]")
         return F.struct(F.concat(acc["out"], F.when(is_own, cased).otherwise(c)).alias("out"), (acc["k"] + is_own.cast("int")).alias("k"))
 
-    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), put, lambda a: a["out"])
+    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), put, lambda a: F.concat(a["out"], F.substring(letters, a["k"] + 1, F.length(letters))))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -150,104 +231,143 @@ def card_digits(digits: Column, seed: Column) -> Column:
     return F.concat(head, F.when(luhn_sum(digits) % 10 == 0, check).otherwise(F.right(substituted(digits, seed), F.lit(1))))
 
 
-def name_words(e: Column, canon: Column, seed: Column) -> Column:
-    """The title, a given name of its gender if there are two words, and a made-up surname."""
-    title = F.regexp_extract(e, r"\A(\S+) ", 1)
-    bare = F.rtrim(title, F.lit("."))
-    script = F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-    given, surname = None, None
-    for (gender, kind), names in GIVEN.items():
-        test = bare.isin(*(MALE if gender == "m" else FEMALE)) & (script == kind)
-        pick = F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64(seed, F.lit(-1)), F.lit(len(names))) + 1).cast("int"))
-        given = F.when(test, pick) if given is None else given.when(test, pick)
-    for kind in VOWELS:
-        syllables = F.concat(*[part for i in range(4) for part in (draw(seed, F.lit(2 * i), CONSONANTS[kind]), draw(seed, F.lit(2 * i + 1), VOWELS[kind]))])
-        made = F.initcap(F.concat(syllables, F.lit(CONSONANTS[kind][0])))
-        surname = F.when(script == kind, made) if surname is None else surname.when(script == kind, made)
-    return F.when(canon.contains(" "), F.concat_ws(" ", title, given, surname)).otherwise(F.concat_ws(" ", title, surname))
-
-
-def seeds(x: Mapping[str, Column], attempt: Column, key: str) -> dict[str, Column]:
-    """The seeds of an entity's surrogate, and of the domain if it is an address."""
-    own = F.sha2(F.concat_ws("\x1f", F.lit(key), x["kind"], x["canon"], attempt.cast("string")), 256)
-    domain = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.lower(domain_of(x["entity"]))), 256)
-    return {"seed": F.xxhash64(own), "domain_seed": F.xxhash64(domain), "extra": F.floor(attempt / PATIENCE).cast("int")}
-
-
-def domain_of(e: Column) -> Column:
-    return F.regexp_extract(e, r"@(.*)\.[^.]*\z", 1)
-
-
-def surrogate(x: Mapping[str, Column]) -> Column:
-    """Of an entity with its kind, canonical form and seeds."""
-    e, kind, canon, seed = x["entity"], x["kind"], x["canon"], x["seed"]
-    longer, more = (F.when(x["extra"] > 0, substituted(F.repeat(F.lit(c), x["extra"]), F.xxhash64(seed, F.lit(-2)))).otherwise(F.lit("")) for c in "a0")
-    email = F.concat(substituted(F.regexp_extract(e, r"\A([^@]*)@", 1), seed), longer, F.lit("@"), substituted(domain_of(e), x["domain_seed"]), F.regexp_extract(e, r"(\.[^.]*)\z", 1))
-    value = secret_value(e)
-    secret = F.concat(F.regexp_extract(e, r"\A(.*?[=:] ?\"?)", 1), F.when(value.rlike(r"\A[0-9a-f]+\z|\A[0-9A-F]+\z"), hexed(value, seed)).otherwise(substituted(value, seed)), F.when(e.endswith('"'), F.lit('"')).otherwise(F.lit("")))
-    octets = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: (F.pmod(F.xxhash64(seed, i), F.lit(254)) + 1).cast("string")), ".")
-    # The country code of a number that has one stays, and so do the marks of a key or an account.
-    kept = F.when(kind == "key", F.lit(4)).when(kind == "iban", F.lit(2)).when((kind == "phone") & e.startswith("+"), F.length(F.regexp_extract(e, r"\A\+(\d+?)(?=[^\d]|\d{10}\z)", 1))).otherwise(F.lit(0))
-    plain = F.concat(F.left(canon, kept), F.substring(substituted(canon, seed), kept + 1, F.length(canon)))
+def script_of(word: Column) -> Column:
+    """The place of word's script in SCRIPTS from 1, or 0."""
+    return F.when(word.rlike(r"\p{IsCyrillic}"), 2).when(word.rlike(r"\p{IsGreek}"), 3).when(word.rlike(r"\p{IsLatin}"), 1).otherwise(0)
+
+
+def made_up(word: Column, seed: Column, syllables: Column | int, ending: Column) -> Column:
+    """A name of syllables in word's script, part by part where word has hyphens; after
+    ending (a) it ends in a vowel, else in a consonant."""
+    consonants, vowels = (lambda p: F.element_at(table(CONSONANTS), script_of(p))), (lambda p: F.element_at(table(VOWELS), script_of(p)))
+
+    def part(p: Column, i: Column) -> Column:
+        own = F.xxhash64(seed, i)
+        syllable = F.transform(F.sequence(F.lit(1), F.lit(syllables)), lambda k: F.concat(draw(own, 2 * k, consonants(p)), draw(own, 2 * k + 1, vowels(p))))
+        end = F.when(ending, F.concat(draw(own, F.lit(-3), consonants(p)), F.left(vowels(p), F.lit(1)))).otherwise(F.left(consonants(p), F.lit(1)))
+        return F.when(script_of(p) > 0, F.concat(F.array_join(syllable, ""), end)).otherwise(substituted(p, own))
+
+    return F.array_join(F.transform(F.split(word, "-"), part), "-")
+
+
+def given_names(canon: Column, seed: Column, attempt: Column, female: Column) -> Column:
+    """New given names for all words of canon but the last, in lower case. An initial
+    stays one, while draws last."""
+
+    def one(w: Column, i: Column) -> Column:
+        own = F.xxhash64(seed, i)
+        listed = F.split(F.element_at(table([*MALE_NAMES, *FEMALE_NAMES]), script_of(w) + F.when(female, len(SCRIPTS)).otherwise(0)), " ")
+        names = F.filter(listed, lambda x: F.lower(x) != w)
+        pick = F.lower(F.when(script_of(w) > 0, F.get(names, F.pmod(own, F.size(names)).cast("int"))).otherwise(substituted(w, own)))
+        short = F.when(w.endswith("."), F.concat(F.left(pick, F.lit(1)), F.lit("."))).otherwise(pick)
+        return F.when(attempt < PATIENCE, short).otherwise(made_up(F.regexp_replace(w, r"\.", ""), own, 2, female))
+
+    words = F.split(canon, " ")
+    return F.array_join(F.transform(F.slice(words, F.lit(1), F.size(words) - 1), one), " ")
+
+
+def made(u: Column) -> Column:
+    """The surrogate of a unit (kind, canon, attempt, seed), in canonical form. Given names
+    and local parts are followed by the surname or domain that they are distinct under."""
+    kind, canon, seed = u["kind"], u["canon"], u["seed"]
+    extra = F.floor(u["attempt"] / PATIENCE).cast("int")
+    letters, digits = (F.when(extra > 0, drawn_anew(F.repeat(F.lit("a"), extra), F.xxhash64(seed, F.lit(-2)), x)).otherwise(F.lit("")) for x in (ALPHABETS[1][2], ALPHABETS[0][2]))
+    local, domain = F.regexp_extract(canon, r"\A([^@]*)@", 1), F.regexp_extract(canon, r"\A(?:.*@)?(.*)\z", 1)
+    surname = F.element_at(F.split(canon, " "), -1)
+    octets = F.array_join(F.transform(F.split(canon, r"\."), lambda o, i: (F.pmod(F.xxhash64(seed, i), F.lit(254)) + 1).cast("string")), ".")
+    # The country code of a number stays, and so do the marks of a key or an account.
+    kept = F.when(kind == "key", F.lit(4)).when(kind == "iban", F.lit(2)).when(kind == "phone", F.when(canon.rlike(r"\A\+[17]"), F.lit(2)).when(canon.startswith("+"), F.lit(3)).otherwise(F.lit(0))).otherwise(F.lit(0))
+    plain = F.concat(F.left(canon, kept), F.substring(substituted(canon, seed), kept + 1, F.length(canon)), digits)
     return (
-        F.when(kind == "email", email)
-        .when(kind == "secret", secret)
+        F.when(kind == "email", F.concat(substituted(local, seed), letters, F.lit("@"), domain))
+        .when(kind == "domain", F.concat(substituted(F.regexp_extract(canon, r"\A(.*)\.[^.]*\z", 1), seed), letters, F.regexp_extract(canon, r"(\.[^.]*)\z", 1)))
+        .when(kind.isin("given-m", "given-f"), F.concat(given_names(canon, seed, u["attempt"], kind == "given-f"), letters, F.lit(" "), surname))
+        .when(kind == "surname", F.concat(made_up(canon, seed, 4, F.lit(False)), letters))
+        .when(kind == "secret", F.concat(secret_text(canon, seed), letters))
         .when(kind == "ip", octets)
-        .when(kind == "card", F.concat(filled(e, card_digits(canon, seed)), more))
-        .when(kind == "name", F.concat(name_words(e, canon, seed), longer))
-        .otherwise(F.concat(filled(e, plain), more))
+        .when(kind == "card", F.concat(card_digits(canon, seed), digits))
+        .otherwise(plain)
     )
 
 
-def exceptions(entities: DataFrame, key: str) -> DataFrame:
-    """(mark, attempt) of the entities whose first surrogate is taken. entities: entity, kind, canon."""
-    x = {c: F.col(c) for c in ("entity", "kind", "canon", "seed", "domain_seed", "extra")}
-    table = settled(entities.groupBy("kind", "canon").agg(F.min("entity").alias("entity")).withColumn("attempt", F.lit(0)))
+def seeded(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+    """A unit with the seed of its surrogate."""
+    seed = F.xxhash64(F.sha2(F.concat_ws(MARK, F.lit(key), kind, canon, attempt.cast("string")), 256))
+    return F.struct(kind.alias("kind"), canon.alias("canon"), attempt.alias("attempt"), seed.alias("seed"))
+
+
+def dressed_name(e: Column, own: Column) -> Column:
+    """Title and particles of e as they were, its other words from its units' surrogates."""
+    words = F.split(F.regexp_replace(e, r"\A\S+ ", ""), " ")
+    surname = F.element_at(own, -1)
+    given = F.split(F.when(F.size(own) > 1, F.element_at(own, 1)).otherwise(F.lit("")), " ")
+
+    def word(w: Column, i: Column) -> Column:
+        before = F.size(F.filter(words, lambda x, j: (j < i) & ~x.isin(*PARTICLES)))
+        made = F.when(i == F.size(words) - 1, surname).otherwise(F.get(given, before))
+        titled = F.array_join(F.transform(F.split(made, "-"), lambda p: F.initcap(p)), "-")
+        return F.when(w.isin(*PARTICLES), w).when((F.length(w) > 2) & (w == F.upper(w)), F.upper(made)).otherwise(titled)
+
+    return F.concat_ws(" ", F.regexp_extract(e, r"\A(\S+) ", 1), F.array_join(F.transform(words, word), " "))
+
+
+def dressed(x: Column) -> Column:
+    """The surrogate of an entity (entity, kind, made: its units' surrogates), in its format."""
+    e, kind, own = x["entity"], x["kind"], x["made"]
+    first = F.element_at(own, 1)
+    at = F.instr(e, F.lit("@"))
+    # A domain may have grown; its end is put back as it was.
+    stem = F.regexp_extract(e, r"@(.*)\.[^.]*\z", 1)
+    email = F.concat(filled(F.left(e, at - 1), F.regexp_extract(first, r"\A([^@]*)@", 1)), F.lit("@"), filled(stem, F.regexp_extract(F.element_at(own, -1), r"\A(.*)\.[^.]*\z", 1)), F.regexp_extract(e, r"(\.[^.]*)\z", 1))
+    secret = F.concat(F.regexp_extract(e, r"\A(.*?[=:] ?\"?)", 1), first, F.when(e.endswith('"'), F.lit('"')).otherwise(F.lit("")))
+    return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", first).when(kind == "name", dressed_name(e, own)).otherwise(filled(e, first))
+
+
+def exceptions(found: DataFrame, key: str) -> DataFrame:
+    """(mark, attempt) of the units (kind, canon) whose first surrogate is taken."""
+    table = settled(found.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)))
     known = table.select("kind", F.col("canon").alias("made"), F.lit(True).alias("real"))
-    while True:
-        made = table.withColumns(seeds(x, F.col("attempt"), key)).withColumn("surrogate", surrogate(x))
-        drawn = made.select("kind", "canon", "entity", "attempt", canonical(F.col("surrogate"), F.col("kind")).alias("made"))
+    for _ in range(MOST_ROUNDS):
+        unit = seeded(F.col("kind"), F.col("canon"), F.col("attempt"), key)
+        drawn = table.withColumn("unit", unit).select("kind", "canon", "attempt", made(F.col("unit")).alias("made"))
         # Who has tried more often keeps what it has.
         keeps = drawn.groupBy("kind", "made").agg(F.min(F.struct(-F.col("attempt"), F.col("canon"))).alias("first"))
         clash = drawn.join(keeps, ["kind", "made"]).join(known, ["kind", "made"], "left")
         again = (F.col("canon") != F.col("first.canon")) | F.coalesce("real", F.lit(False))
-        table = settled(clash.select("kind", "canon", "entity", F.col("attempt").alias("before"), (F.col("attempt") + again.cast("int")).alias("attempt")))
+        table = settled(clash.select("kind", "canon", F.col("attempt").alias("before"), (F.col("attempt") + again.cast("int")).alias("attempt")))
         last = table.where("attempt <> before").isEmpty()
         table = table.drop("before")
         if last:
-            return table.where("attempt > 0").select(F.concat_ws("\x1f", "kind", "canon").alias("mark"), "attempt")
+            return table.where("attempt > 0").select(F.concat_ws(MARK, "kind", "canon").alias("mark"), "attempt")
+    raise RuntimeError(f"some surrogates are still taken after {MOST_ROUNDS} rounds")
 
 
 def with_surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, text (with surrogates), n_entities and changed."""
     found = docs.select(*keep, F.col(text_col).alias("__sl_text"), F.when(may_have_entities(F.col(text_col)), F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("__sl_found"))
     kinds = F.transform("__sl_found", lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
-    forms = F.transform(kinds, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), canonical(x["entity"], x["kind"]).alias("canon")))
-    described = found.select(*keep, "__sl_text", forms.alias("__sl_found"))
-    taken = settled(exceptions(described.select(F.explode("__sl_found").alias("x")).select("x.*"), key))
+    parted = F.transform(kinds, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), units(x["entity"], x["kind"]).alias("units")))
+    described = found.select(*keep, "__sl_text", parted.alias("__sl_found"))
+    each = described.where(F.size("__sl_found") > 0).select("__sl_text", F.explode("__sl_found").alias("x")).select("__sl_text", F.explode("x.units").alias("u"))
+    taken = settled(exceptions(each.select("u.*"), key))
     if taken.isEmpty():
         joined = described.withColumn("__sl_attempts", F.lit(None).cast("map<string,int>"))
     else:
         # Texts with an exception get their attempts as a map, by the text's digest.
-        by_text = (
-            described.where(F.size("__sl_found") > 0)
-            .select(F.sha2("__sl_text", 256).alias("__sl_sha"), F.explode("__sl_found").alias("x"))
-            .select("__sl_sha", F.concat_ws("\x1f", "x.kind", "x.canon").alias("mark"))
-            .join(hinted(taken, BROADCAST_EXCEPTIONS), "mark")
-            .distinct()
-            .groupBy("__sl_sha")
-            .agg(F.map_from_entries(F.collect_list(F.struct("mark", "attempt"))).alias("__sl_attempts"))
-        )
-        joined = described.withColumn("__sl_sha", F.sha2("__sl_text", 256)).join(hinted(settled(by_text), BROADCAST_EXCEPTIONS), "__sl_sha", "left")
-
-    def seeded(x: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at("__sl_attempts", F.concat_ws("\x1f", x["kind"], x["canon"])), F.lit(0))
-        made = seeds(x, attempt, key)
-        return F.struct(*[x[c].alias(c) for c in ("entity", "kind", "canon")], *[c.alias(n) for n, c in made.items()])
-
-    made = F.transform(F.transform("__sl_found", seeded), surrogate)
+        marked = each.select(F.sha2("__sl_text", 256).alias("__sl_sha"), F.concat_ws(MARK, "u.kind", "u.canon").alias("mark"))
+        pairs = settled(marked.join(hinted(taken, BROADCAST_EXCEPTIONS), "mark").distinct())
+        by_text = pairs.groupBy("__sl_sha").agg(F.map_from_entries(F.collect_list(F.struct("mark", "attempt"))).alias("__sl_attempts"))
+        by_text = F.broadcast(by_text) if small_enough(pairs, BROADCAST_EXCEPTIONS) else by_text
+        joined = described.withColumn("__sl_sha", F.sha2("__sl_text", 256)).join(by_text, "__sl_sha", "left")
+
+    def attempted(u: Column) -> Column:
+        attempt = F.coalesce(F.try_element_at("__sl_attempts", F.concat_ws(MARK, u["kind"], u["canon"])), F.lit(0))
+        return seeded(u["kind"], u["canon"], attempt, key)
+
+    ready = F.transform("__sl_found", lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), F.transform(x["units"], attempted).alias("units")))
+    finished = F.transform(ready, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), F.transform(x["units"], made).alias("made")))
     some = F.size("__sl_found") > 0
-    text = F.array_join(F.zip_with(F.split("__sl_text", ENTITY, -1), made, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    text = F.array_join(F.zip_with(F.split("__sl_text", ENTITY, -1), F.transform(finished, dressed), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     return joined.select(
         *keep,
         F.when(some, text).otherwise(F.col("__sl_text")).alias("text"),

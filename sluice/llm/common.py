@@ -67,8 +67,15 @@ def settled(df: DataFrame) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch, which here are whole texts. A session that sets another number than Spark's default keeps it.
+BATCH_ROWS, DEFAULT_ROWS = 1000, 10_000
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Sends this package to the executors unless their PYTHONPATH has it."""
+    """Sends this package to the executors unless their PYTHONPATH has it, and keeps
+    Arrow batches small: they lie in memory beside the heap, several a task."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == DEFAULT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if str(ROOT) in paths or sc.applicationId in _shipped:
@@ -112,10 +119,12 @@ def let_go(spark: SparkSession) -> None:
     release_memory()
 
 
-def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """step, giving memory back after every batch: workers share an executor's with its JVM."""
+def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cache: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """step, giving memory back after every batch: workers share an executor's with its
+    JVM. cache names the operator whose cache step uses; others' are let go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_cache(cache)
         for b in step(batches):
             yield b
             del b

@@ -42,7 +42,7 @@ from .common import let_go, process_cache, ship_code, tidy
 UND = "und"
 PER_LANGUAGE = 150
 #: The sample's other bounds: labels, the most frequent first, and characters in all.
-MOST_LANGUAGES, MOST_CHARS = 256, 4_000_000
+MOST_LANGUAGES, MOST_CHARS = 256, 1_500_000
 #: Held out: crc32 of the id as text, modulo FOLDS, is HELD_OUT.
 FOLDS, HELD_OUT = 4, 2
 BUCKETS = 1 << 15
@@ -52,6 +52,8 @@ LEARNING_RATE = 0.15
 DECAY = 0.02
 LEXICON = 3000
 CACHE_WORDS = 300_000
+#: Words whose features are found together.
+PART_WORDS = 8000
 #: A pipeline keeps documents whose language has at least this mean probability.
 MIN_SCORE = 0.3
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -202,9 +204,9 @@ class Tagger:
         if len(self.rows) > CACHE_WORDS:
             self.rows, self.scores = {}, np.zeros((0, 0))
         split = [(t or "").lower().split() for t in texts]
-        unseen = set().union(*split).difference(self.rows)
-        if unseen:
-            self.learn_words(list(unseen))
+        unseen = list(set().union(*split).difference(self.rows))
+        for k in range(0, len(unseen), PART_WORDS):
+            self.learn_words(unseen[k : k + PART_WORDS])
         rows = [[r for r in map(self.rows.__getitem__, tokens) if r >= 0] for tokens in split]
         first = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int64)
         if not first[-1]:
@@ -352,7 +354,7 @@ def predict(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text
                 ["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return rows.mapInArrow(tidy(predicted), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(predicted, "taggers"), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def label_words(texts: list[str | None], tagger: Tagger) -> list[list[tuple[str, str, float]]]:
@@ -380,4 +382,4 @@ def drop_unidentified(docs: DataFrame, tagger: Tagger | None, text_col: str = "t
                 made = own.predict(b.column(text_col).to_pylist())
                 yield b.filter(pa.array([lang != UND and score >= min_score for lang, score in made], pa.bool_()))
 
-    return docs.mapInArrow(tidy(known), docs.schema)
+    return docs.mapInArrow(tidy(known, "taggers"), docs.schema)

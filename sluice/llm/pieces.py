@@ -333,7 +333,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 out = [b.column("doc_id"), pa.array(number, pa.int64()), pa.array(spelled, pa.int64()), pa.array(score, pa.float64()), pa.array(digest, pa.string()), pa.array(back, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.binary())] * with_ids, names)
 
-    return rows.mapInArrow(tidy(encoded), f"doc_id {kind}, n_pieces long, n_bytes_spelled long, score double, ids_sha256 string, decodes boolean" + ", ids binary" * with_ids)
+    return rows.mapInArrow(tidy(encoded, "pieces"), f"doc_id {kind}, n_pieces long, n_bytes_spelled long, score double, ids_sha256 string, decodes boolean" + ", ids binary" * with_ids)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -349,4 +349,4 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
             texts = [p.decode(np.frombuffer(x, "<i4").tolist()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.mapInArrow(tidy(decoded), f"doc_id {kind}, text string")
+    return rows.mapInArrow(tidy(decoded, "pieces"), f"doc_id {kind}, text string")

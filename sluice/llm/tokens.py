@@ -178,5 +178,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(tidy(counted), f"doc_id {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(tidy(counted, "rank_mergers"), f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > over)

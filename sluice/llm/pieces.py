@@ -43,7 +43,9 @@ from .common import process_cache, ship_code, tidy
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 60_000
+#: Segments whose best paths are found together.
+PART_SEGMENTS = 4000
 
 
 def default_model() -> str:
@@ -276,8 +278,10 @@ class Pieces:
         """Fills the cache: packed ids, number, bytes spelled out, score, decoded bytes."""
         fresh = list(segments)
         spells = self.spells.__getitem__
-        for s, (ids, score) in zip(fresh, self.viterbi(fresh), strict=True):
-            self.cache[s] = (struct.pack(f"<{len(ids)}i", *ids), len(ids), sum(map(spells, ids)), score, self.decode_bytes(ids))
+        for k in range(0, len(fresh), PART_SEGMENTS):
+            part = fresh[k : k + PART_SEGMENTS]
+            for s, (ids, score) in zip(part, self.viterbi(part), strict=True):
+                self.cache[s] = (struct.pack(f"<{len(ids)}i", *ids), len(ids), sum(map(spells, ids)), score, self.decode_bytes(ids))
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, int, int, float, bool]]:
         """Per text: ids (little-endian 32-bit), their number, bytes spelled out, the

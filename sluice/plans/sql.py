@@ -7,7 +7,7 @@ clicks AS (
   SELECT *, ['Screening CVs or job applications', 'Credit scoring or insurance risk',
              'Eligibility for public benefits or services', 'Safety-critical systems or infrastructure',
              'General productivity tools (Copilot, ChatGPT, etc.)', 'We don''t use AI yet'][event_id % 6 + 1] AS option
-  FROM events WHERE value < 3),
+  FROM events),
 per_option AS (
   SELECT user_id, option, count(*) AS n, max(ts) AS last_ts, max(event_id) AS last_id FROM clicks GROUP BY ALL),
 answers AS (
@@ -69,8 +69,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT event_id, ceil((epoch_us(TIMESTAMP '2026-08-02 00:00:00') - epoch_us(ts)) / 86400000000.0)::BIGINT AS days_left FROM events""",
     "r12_result_lookup": f"""
         WITH {CLICKS}, results(result, heading, link) AS (VALUES
-          ('high', 'Obligations are likely to apply', '/contact'), ('low', 'Lower obligations are likely', '/services'),
-          ('unsure', 'More information is needed', '/contact'))
+          ('high', 'Your systems likely fall under Annex III.', '/contact'), ('low', 'You''re likely outside the highest-risk categories.', '/services'),
+          ('unsure', 'Hard to say without a bit more context.', '/contact'))
         SELECT user_id, result, heading, link FROM (SELECT user_id, {RESULT} AS result FROM answers) JOIN results USING (result)""",
     "r13_parse_counter": rf"""
         WITH t AS (SELECT p_partkey, {TARGET} AS target FROM part)
@@ -108,7 +108,7 @@ ORACLE_SQL: dict[str, str] = {
     "r27_indexed_map": """
         SELECT vec_id, i, i * 80 AS delay_ms, CASE WHEN i >= 6 THEN 'accent' ELSE 'plain' END AS colour,
                CASE WHEN i < 6 THEN 0.6::DOUBLE + i * 0.06::DOUBLE ELSE 1.0::DOUBLE END AS opacity
-        FROM (SELECT vec_id, unnest(range(0, least(8, len(embedding))))::INTEGER AS i FROM embeddings)""",
+        FROM (SELECT vec_id, unnest(range(0, len(embedding)))::INTEGER AS i FROM embeddings)""",
     "r27_union_offset": """
         SELECT i, i * 80 AS delay_ms, name FROM (
           SELECT r_regionkey AS i, r_name AS name FROM region UNION ALL SELECT n_nationkey + 5, n_name FROM nation)""",

@@ -29,15 +29,14 @@ HIGH_RISK_USES = (
     "Eligibility for public benefits or services",
     "Safety-critical systems or infrastructure",
 )
-BAR_HEIGHTS = (30, 40, 45, 55, 65, 80, 90, 95)
 LINKS = (("/", "Home"), ("/services", "Services"), ("/about", "About"), ("/contact", "Contact"))
 DEADLINE = "2026-08-02T00:00:00Z"
 
-#: What is shown for each result: a heading and where it leads.
+# The heading that each result shows. Beside it, where a result leads.
 RESULTS = (
-    ("high", "Obligations are likely to apply", "/contact"),
-    ("low", "Lower obligations are likely", "/services"),
-    ("unsure", "More information is needed", "/contact"),
+    ("high", "Your systems likely fall under Annex III.", "/contact"),
+    ("low", "You're likely outside the highest-risk categories.", "/services"),
+    ("unsure", "Hard to say without a bit more context.", "/contact"),
 )
 
 
@@ -52,6 +51,3 @@ def results(spark: SparkSession) -> DataFrame:
 def links(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *x) for k, x in enumerate(LINKS)], "place int, href string, label string")
 
-
-def bars(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(list(BAR_HEIGHTS),)], "heights array<int>").selectExpr("posexplode(heights) AS (i, h)")

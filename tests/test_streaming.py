@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import random
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,49 @@ def test_step_machine(spark, feed, tmp_path):
     assert last == want
 
 
+def test_maps_are_put_together():
+    state = list(range(5))
+    rng = random.Random(2)
+    for n in (1, 2, 3, 7, 100):
+        codes = [rng.randrange(4) for _ in range(n)]
+        for start in range(5):
+            now = start
+            for c in codes:
+                now = int(sessions.LEADS_TO[c][now])
+            state[start] = now
+        assert sessions.put_together(sessions.LEADS_TO[codes]).tolist() == state
+
+
+def test_steps_by_rule(spark):
+    rows = [(s, a) for s in range(5) for a in ("next", "back", "reset", "none")]
+    df = spark.createDataFrame(rows, "s int, a string")
+    for s, a, to in df.select("s", "a", interaction.next_step(F.col("s"), F.col("a"))).collect():
+        assert sessions.LEADS_TO[sessions.ACTIONS.index(a) if a in sessions.ACTIONS else -1][s] == to
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    """Five files: each a day later with a user of its own; then one late event."""
+    folder = tmp_path / "days"
+    files = [[(k, 10 + k, "next"), (k, 10 + k, "next")] for k in range(5)] + [[(0, 10, "next")]]
+    for place, rows in enumerate(files):
+        data = [(u, d * 100 + j, a, datetime(2024, 1, d, j, tzinfo=timezone.utc)) for j, (u, d, a) in enumerate(rows)]
+        spark.createDataFrame(data, "user_id long, event_id long, action string, ts timestamp").coalesce(1).write.mode("append").parquet(str(folder))
+        for f in folder.glob("part-*.parquet"):
+            if not f.name.startswith("part-file"):
+                f.rename(folder / f"part-file{place}.parquet")
+                os.utime(folder / f"part-file{place}.parquet", (1_700_000_000 + place * 60,) * 2)
+    for name, make, mode in (("steps_idle", lambda s: sessions.step_machine(s, idle="2 hours"), "update"), ("latch_idle", lambda s: sessions.first_arrivals(s, F.col("action") == "next", idle="2 hours"), "append")):
+        stream = spark.readStream.schema(spark.read.parquet(str(folder)).schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        q = make(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        assert max(kept) <= 3 and kept[-1] <= 1
+        got = spark.table(name).collect()
+        assert sorted(r["user_id"] for r in got) == [0, 1, 2, 3, 4]  # the late event changes nothing
+        if mode == "update":
+            assert {r["state"] for r in got} == {2}
+
+
 def test_windows(spark, feed, tmp_path):
     batch = sessions.zoned(load(spark, SF, "events"))
     want = {(r[0], r[1]): r[2] for r in batch.groupBy(F.window("ts", "1 day").start.cast("string"), "event_type").count().collect()}

@@ -6,7 +6,11 @@ columns of documents.
 
 Defined cases, beyond those of each operator: a document is told from others by
 its id; of rows that repeat a kept id with other texts near_duplicates keeps all
-that are not near copies of an earlier id.
+that are not near copies of an earlier id. A corpus without any label or text to learn
+from has no language that can be named, so nothing is left of it.
+
+Tables between stages lie below the folder that spark.checkpoint.dir names and stay
+there, as the result may read them later; the caller clears that folder.
 """
 
 from __future__ import annotations

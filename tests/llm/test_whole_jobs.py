@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from sluice.llm import lines, pieces, quality
+import corpus_pipeline
+from sluice.llm import exact, lines, pieces, quality
+from sluice.llm.common import settled
 
 
 # 6. Quality
@@ -60,6 +63,47 @@ def test_longer_variants_of_a_hot_passage(spark):
     assert got == want
 
 
+# 4. Exact dedup
+
+
+def test_drop_keeps_one_row_of_each_group(spark):
+    data = [(1, "a b", 5), (1, "a  b", 6), (2, "a\tb", 7), (3, "c", 8), (3, "c", 8), (None, "d", 9), (None, None, 1), (4, "", 2)]
+    df = spark.createDataFrame(data, "doc_id long, text string, n long")
+    got = sorted((tuple(r) for r in exact.drop_exact_duplicates(df).collect()), key=repr)
+    assert got == sorted([(1, "a  b", 6), (3, "c", 8), (None, "d", 9), (4, "", 2)], key=repr)
+    groups = {r["doc_id"]: r["group_size"] for r in exact.exact_groups(df).where("kept AND doc_id IS NOT NULL").collect()}
+    assert groups == {1: 3, 3: 2, 4: 2}
+
+
+# Tables kept between steps
+
+
+def test_self_joins_plan_in_constant_time(spark):
+    """Size estimates of settled tables don't grow from round to round."""
+    df = settled(spark.range(50).select("id", (F.col("id") + 1).alias("to")))
+    for _ in range(12):
+        df = settled(df.join(df.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.coalesce("next", "to").alias("to")))
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    assert size <= 64 and df.count() >= 0
+
+
+# Pipeline
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    body = "The same sentence stands here again, with enough words to be a passage of its own in every text. " * 4
+    texts = [(1, body), (1, body), (2, body + "x"), (None, body), (None, None), (3, None), (4, ""), (5, " \t\n"), (1, "another text under an id that is taken already, quite different from it")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame([(i, t, None if k % 3 else "en", None if k % 4 == 0 else "src", None) for k, (i, t) in enumerate(texts)], schema)
+    for start in (odd, odd.limit(0), odd.where("lang IS NULL")):
+        docs = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, "").collect(), schema)
+            assert docs.columns == start.columns
+        ids = {r["doc_id"] for r in docs.collect()}
+        assert ids <= {1, 2, None} and (start is odd or not ids)
+
+
 # 10. Pieces
 
 

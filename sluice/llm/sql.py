@@ -72,6 +72,45 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked
 """
 
+SPACES = r"\t\n\v\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+OP5 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+split AS (SELECT r, doc_id, string_split(text, chr(10)) AS parts FROM docs),
+lines AS (SELECT r, doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS i FROM split),
+worded AS (
+  SELECT r, doc_id, i, regexp_extract_all(line, '[^{SPACES}]+') AS w, row_number() OVER (PARTITION BY r ORDER BY i) AS place
+  FROM lines WHERE regexp_matches(line, '[^{SPACES}]')),
+placed AS (
+  SELECT r, doc_id, i, place, len(w) AS n, array_to_string(w, ' ') AS body,
+         (sum(len(w)) OVER (PARTITION BY r ORDER BY place))::BIGINT AS upto
+  FROM worded),
+spans AS (
+  SELECT b.r, b.place AS first, e.place AS last
+  FROM placed b ASOF JOIN placed e ON b.r = e.r AND b.upto - b.n + 50 <= e.upto
+  UNION
+  SELECT e.r, b.place, e.place
+  FROM placed e ASOF JOIN (SELECT r, place, upto - n AS before FROM placed) b ON e.r = b.r AND e.upto - 50 >= b.before),
+windows AS (
+  SELECT s.r, any_value(doc_id) AS doc_id, s.first, s.last, string_agg(body, chr(10) ORDER BY place) AS run
+  FROM spans s JOIN placed p ON p.r = s.r AND p.place BETWEEN s.first AND s.last
+  GROUP BY s.r, s.first, s.last),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, r, first) AS occurrence FROM windows),
+gone AS (
+  SELECT DISTINCT p.r, p.i, p.n
+  FROM ordered o JOIN placed p ON p.r = o.r AND p.place BETWEEN o.first AND o.last WHERE o.occurrence > 1),
+cut AS (
+  SELECT l.r, count(g.i) AS lines_removed, coalesce(sum(g.n), 0)::BIGINT AS words_removed,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS left_text
+  FROM lines l LEFT JOIN gone g ON g.r = l.r AND g.i = l.i GROUP BY l.r),
+kept AS (
+  SELECT doc_id, coalesce(lines_removed, 0)::BIGINT AS lines_removed, coalesce(words_removed, 0)::BIGINT AS words_removed,
+         CASE WHEN coalesce(lines_removed, 0) = 0 THEN text WHEN regexp_matches(left_text, '[^{SPACES}]') THEN left_text ELSE '' END AS kept_text
+  FROM docs LEFT JOIN cut USING (r))
+SELECT doc_id, lines_removed, words_removed, length(kept_text)::BIGINT AS chars_left, sha256(kept_text) AS text_sha256 FROM kept
+"""
+
 OP6 = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -121,4 +160,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM joined
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_minhash_neardup": OP2, "op4_exact_dedup": OP4, "op6_quality_rules": OP6}
+OP7_MARKS = r"\[INST\]|\[/INST\]|<s>|</s>|<<SYS>>|<</SYS>>|<<ROLE>>|<</ROLE>>|<</TURN>>"
+
+OP7 = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+judged AS (
+  SELECT *, role IN ('user', 'assistant', 'system') AS known,
+         regexp_matches(text, '{OP7_MARKS}|\\[\\<\[]')
+         OR (role NOT IN ('user', 'assistant', 'system') AND regexp_matches(role, '{OP7_MARKS}|\\[\\<\[]|\\\z')) AS conflict
+  FROM turns),
+escaped AS (
+  SELECT *, CASE WHEN conflict THEN regexp_replace(regexp_replace(replace(text, '\', '\\'), '\\\\([^\\<\[])', '\\\1', 'g'), '({OP7_MARKS})', '\\\1', 'g') ELSE text END AS inner_text,
+         CASE WHEN conflict THEN regexp_replace(regexp_replace(replace(role, '\', '\\'), '\\\\([^\\<\[])', '\\\1', 'g'), '({OP7_MARKS})', '\\\1', 'g') ELSE role END AS inner_role
+  FROM judged),
+rendered AS (
+  SELECT *, CASE role WHEN 'user' THEN '[INST] ' || inner_text || ' [/INST]'
+                      WHEN 'assistant' THEN '<s> ' || inner_text || ' </s>'
+                      WHEN 'system' THEN '<<SYS>> ' || inner_text || ' <</SYS>>'
+                      ELSE '<<ROLE>>' || inner_role || '<</ROLE>> ' || inner_text || ' <</TURN>>' END AS formatted
+  FROM escaped)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, formatted)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, formatted) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(formatted))::BIGINT AS formatted_chars
+FROM rendered GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_minhash_neardup": OP2, "op4_exact_dedup": OP4, "op5_line_dedup": OP5, "op6_quality_rules": OP6, "op7_chat_formatting": OP7}

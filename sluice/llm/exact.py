@@ -42,14 +42,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # The group's order: ids ascending, nulls last, then rows as they were read.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row"))
 
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    share = F.broadcast(total.select((F.col("total") * heavy_share).alias("least")))
+    least = rows.count() * heavy_share
     named = (
         rows.select(F.xxhash64("digest").alias("mark"))
         .agg(F.expr(f"approx_top_k(mark, {counters // 2}, {counters})").alias("top"))
         .select(F.explode("top").alias("t"))
-        .crossJoin(share)
-        .where(F.col("t.count") >= F.col("least"))
+        .where(F.col("t.count") >= least)
         .select(F.col("t.item").alias("mark"))
     )
     heavy = settled(
@@ -57,9 +55,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .join(F.broadcast(named), "mark", "left_semi")
         .groupBy("digest")
         .agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-        .crossJoin(share)
-        .where((F.col("group_size") >= F.col("least")) & (F.col("group_size") > 1))
-        .drop("least")
+        .where((F.col("group_size") >= least) & (F.col("group_size") > 1))
     )
     settled_here = rows.join(F.broadcast(heavy), "digest")
     rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")

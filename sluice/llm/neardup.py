@@ -313,8 +313,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sign = classes.select("rep", "n", *LONGS)
     members = table.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left")
     # An id whose rows have different sets joins their classes.
-    several = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("m"), F.collect_set("rep").alias("reps")).where("u <> m")
-    links = settled(several.select("u", F.explode("reps").alias("v")).where("u <> v"))
+    several = settled(members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("m")).where("u <> m").select("doc_id", "u"))
+    links = settled(members.join(hinted(several, BROADCAST_IDS), "doc_id").select("u", F.col("rep").alias("v")).where("u <> v").distinct())
 
     keys = classes.select(F.explode("keys").alias("key"), "rep")
     shared = settled(keys.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key"))

@@ -145,8 +145,8 @@ def r21_class_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r22_link_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = load(spark, sf_dir, "pages").withColumn("path", _picked(tuple(h for h, _ in relations.LINKS), F.col("page_id")))
-    rows = pages.select("page_id", "path").join(F.broadcast(relations.links(spark)))
+    hrefs = tuple(h for h, _ in relations.LINKS)
+    rows = load(spark, sf_dir, "pages").select("page_id", _picked(hrefs, F.col("page_id")).alias("path"), F.explode(_words(hrefs)).alias("href"))
     return rows.select("page_id", "href", records.link_style(F.col("path"), F.col("href"), F.col("page_id") % 2 == 0).alias("style"))
 
 

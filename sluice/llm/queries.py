@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, lines, mixing, neardup, pieces, pii, quality, tokens
+from . import chat, exact, langid, lines, manifest, mixing, neardup, pieces, pii, quality, tokens
 from .common import read_table
 
 
@@ -63,4 +63,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_minhash_neardup, op3_token_counts, op4_exact_dedup, op5_line_dedup, op6_quality_rules, op7_chat_formatting, op8_language_id, op9_pii_surrogates, op10_sentencepiece)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {c: F.col(c) for c in manifest.COLUMNS}
+    tampered = manifest.leaf_digest(*(columns | {"text": manifest.lower_ascii(F.col("text"))}).values())
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    rows = manifest.manifest(read_table(spark, sf_dir, "documents"), candidate=F.when(chosen, tampered))
+    shown = rows.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest().alias("proof_sha256"), manifest.folded(F.coalesce("candidate", "leaf")).alias("folded_root"))
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_minhash_neardup, op3_token_counts, op4_exact_dedup, op5_line_dedup, op6_quality_rules, op7_chat_formatting, op8_language_id, op9_pii_surrogates, op10_sentencepiece, op12_merkle_manifest)}

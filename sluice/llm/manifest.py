@@ -246,9 +246,3 @@ def proof_digest(before: str = "before", after: str = "after") -> Column:
 def folded(leaf: Column, before: str = "before", after: str = "after") -> Column:
     """The root that leaf has under the witness."""
     return F.aggregate(F.arrays_zip(before, after), leaf, lambda node, s: F.sha2(F.concat(s[before], node, s[after]), 256))
-
-
-def lower_ascii(text: Column) -> Column:
-    """text with A-Z in lower case, and no other letter changed."""
-    plain = F.octet_length(text) == F.char_length(text)
-    return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))

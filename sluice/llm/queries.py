@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, langid, lines, manifest, mixing, neardup, pieces, pii, quality, tokens
-from .common import read_table
+from . import chat, decontam, exact, langid, lines, manifest, mixing, neardup, pieces, pii, quality, tokens
+from .common import lower_ascii, read_table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +65,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {c: F.col(c) for c in manifest.COLUMNS}
-    tampered = manifest.leaf_digest(*(columns | {"text": manifest.lower_ascii(F.col("text"))}).values())
+    tampered = manifest.leaf_digest(*(columns | {"text": lower_ascii(F.col("text"))}).values())
     chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     rows = manifest.manifest(read_table(spark, sf_dir, "documents"), candidate=F.when(chosen, tampered))
     shown = rows.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest().alias("proof_sha256"), manifest.folded(F.coalesce("candidate", "leaf")).alias("folded_root"))
     return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_minhash_neardup, op3_token_counts, op4_exact_dedup, op5_line_dedup, op6_quality_rules, op7_chat_formatting, op8_language_id, op9_pii_surrogates, op10_sentencepiece, op12_merkle_manifest)}
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        decontam.words_hit(F.col("spans")).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        F.col("spans").isNotNull().alias("contaminated"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_minhash_neardup, op3_token_counts, op4_exact_dedup, op5_line_dedup, op6_quality_rules, op7_chat_formatting, op8_language_id, op9_pii_surrogates, op10_sentencepiece, op12_merkle_manifest, op13_decontamination)}

@@ -249,4 +249,28 @@ FROM f_g{group_levels - 1}, g{group_levels} g"""
 
 OP12 = merkle_sql()
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_minhash_neardup": OP2, "op4_exact_dedup": OP4, "op5_line_dedup": OP5, "op6_quality_rules": OP6, "op7_chat_formatting": OP7, "op12_merkle_manifest": OP12}
+OP13 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS body
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs JOIN (SELECT DISTINCT size FROM windows) ON len(w) >= size),
+hits AS (
+  SELECT r, i, p.size, item FROM places p JOIN windows v ON v.size = p.size AND v.body = array_to_string(w[i:i + p.size - 1], ' ')),
+hit_words AS (
+  SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + size)) AS k FROM hits) GROUP BY r),
+hit_items AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words h USING (r) LEFT JOIN hit_items t USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_minhash_neardup": OP2, "op4_exact_dedup": OP4, "op5_line_dedup": OP5, "op6_quality_rules": OP6, "op7_chat_formatting": OP7, "op12_merkle_manifest": OP12, "op13_decontamination": OP13}

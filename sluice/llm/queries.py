@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact, langid, lines, manifest, mixing, neardup, pieces, pii, quality, tokens
+from . import chat, decontam, exact, langid, lines, manifest, mixing, neardup, phrases, pieces, pii, quality, tokens
 from .common import lower_ascii, read_table
 
 
@@ -63,6 +63,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {c: F.col(c) for c in manifest.COLUMNS}
     tampered = manifest.leaf_digest(*(columns | {"text": lower_ascii(F.col("text"))}).values())
@@ -85,4 +89,4 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_minhash_neardup, op3_token_counts, op4_exact_dedup, op5_line_dedup, op6_quality_rules, op7_chat_formatting, op8_language_id, op9_pii_surrogates, op10_sentencepiece, op12_merkle_manifest, op13_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_minhash_neardup, op3_token_counts, op4_exact_dedup, op5_line_dedup, op6_quality_rules, op7_chat_formatting, op8_language_id, op9_pii_surrogates, op10_sentencepiece, op11_phrase_collocation, op12_merkle_manifest, op13_decontamination)}

@@ -190,6 +190,37 @@ SELECT conv_id, count(*) AS n_turns,
 FROM rendered GROUP BY conv_id
 """
 
+
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM split, range(1, 6) AS ks(k) WHERE len(w) >= k)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+frequent AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+candidates AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM frequent WHERE k > 1),
+inside AS (
+  SELECT lang, part, max(a) AS longer
+  FROM (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS part
+        FROM (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM candidates, range(2, 5) AS ms(m) WHERE m < k))
+  GROUP BY lang, part),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, cut, l.a AS l, r.a AS r, n, (1000 * c.a::HUGEINT * n) // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN frequent l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:cut], ' ')
+  JOIN frequent r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')
+  JOIN totals t ON t.lang = c.lang
+  LEFT JOIN inside i ON i.lang = c.lang AND i.part = c.phrase
+  WHERE longer IS NULL OR longer < c.a),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM placed WHERE rank <= 2000
+"""
+
+
 def merkle_sql(levels: int = 8, group_levels: int = 6) -> str:
     """op12 for groups of up to 8 ** levels documents and 8 ** group_levels groups."""
     def climb(name: str, most: int, tree: str) -> list[str]:
@@ -273,4 +304,4 @@ SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS
 FROM docs LEFT JOIN hit_words h USING (r) LEFT JOIN hit_items t USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_minhash_neardup": OP2, "op4_exact_dedup": OP4, "op5_line_dedup": OP5, "op6_quality_rules": OP6, "op7_chat_formatting": OP7, "op12_merkle_manifest": OP12, "op13_decontamination": OP13}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_minhash_neardup": OP2, "op4_exact_dedup": OP4, "op5_line_dedup": OP5, "op6_quality_rules": OP6, "op7_chat_formatting": OP7, "op11_phrase_collocation": OP11, "op12_merkle_manifest": OP12, "op13_decontamination": OP13}

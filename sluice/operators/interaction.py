@@ -1,7 +1,7 @@
 """Operators over click logs: what a session's events, in order, leave behind.
 
-Each is an aggregation with partial sums before its one shuffle. Order is (ts,
-event_id); both are needed, as times can tie. Arguments name columns.
+Each but the step machine is an aggregation with partial sums before its one shuffle.
+Order is (ts, event_id); both are needed, as times can tie. Arguments name columns.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import hinted
+from .windows import ROW, in_pieces
+
 ORDER = ("ts", "event_id")
 DONE = 4  # the state of the step machine that shows the result
 LAST_STEP = 3
@@ -44,19 +47,24 @@ def next_step(state: Column, action: Column) -> Column:
     )
 
 
-def step_machine(actions: DataFrame, key: str = "user_id", action: str = "action", span: str = "day") -> DataFrame:
-    """(key, state) after all actions. Each span of time is folded on its own into
-    the state that it leads to from every state, and spans are then put together,
-    so that a busy key's log isn't one group."""
+#: Rows of a key, next to one another in order, that are folded together: 2 ** FAN_BITS at most.
+FAN_BITS = 13
+
+
+def step_machine(actions: DataFrame, key: str = "user_id", action: str = "action", parts: int | None = None) -> DataFrame:
+    """(key, state) after all actions. Rows are sorted by key and order in ranges and cut
+    into runs of a bounded number of rows. Each run is folded on its own into the state
+    that it leads to from every state; runs are put together in the same way, level by
+    level, so that a key's log is never one group, however busy it is."""
+    rows = in_pieces(actions.select(key, *ORDER, F.col(action).alias("action")), [key], [F.asc_nulls_first(c) for c in ORDER], parts)
     every = F.array(*[F.lit(s) for s in range(DONE + 1)])
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(*ORDER, F.col(action).alias("action")))),
-        every,
-        lambda states, x: F.transform(states, lambda s: next_step(s, x["action"])),
-    )
-    spans = actions.groupBy(key, F.date_trunc(span, "ts").alias("span")).agg(folded.alias("leads_to"))
-    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("span", "leads_to"))), F.lit(0), lambda s, x: F.element_at(x["leads_to"], s + 1))
-    return spans.groupBy(key).agg(whole.alias("state"))
+    folded = F.aggregate(F.array_sort(F.collect_list(F.struct(ROW, "action"))), every, lambda states, x: F.transform(states, lambda s: next_step(s, x["action"])))
+    place = F.shiftright(ROW, FAN_BITS)
+    runs = rows.groupBy(key, place.alias("place")).agg(folded.alias("leads_to"))
+    joined = F.aggregate(F.array_sort(F.collect_list(F.struct("place", "leads_to"))), every, lambda states, x: F.transform(states, lambda s: F.element_at(x["leads_to"], s + 1)))
+    # A range has 2 ** 33 places; what is left of a key after this level is a run or few a range.
+    spans = runs.groupBy(key, F.shiftright("place", FAN_BITS).alias("place")).agg(joined.alias("leads_to"))
+    return spans.groupBy(key).agg(joined.alias("leads_to")).select(key, F.element_at("leads_to", 1).alias("state"))
 
 
 def latch(events: DataFrame, reached: Column, key: str = "user_id") -> DataFrame:
@@ -74,9 +82,14 @@ def flip(events: DataFrame, key: str = "user_id") -> DataFrame:
     return events.groupBy(key).agg((F.count(F.lit(1)) % 2 == 1).alias("open"))
 
 
-def look_up(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
-    """rows with the columns of a dimension of a few fixed rows."""
-    return rows.join(F.broadcast(table), on)
+#: Rows of a dimension that is broadcast.
+BROADCAST_ROWS = 10_000
+
+
+def look_up(rows: DataFrame, table: DataFrame, on: str, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """rows with the columns of a dimension: broadcast if it is counted to have at most
+    most_rows rows, else joined by a shuffle."""
+    return rows.join(hinted(table, most_rows), on)
 
 
 def indexed_union(first: DataFrame, second: DataFrame, n_first: int, index: str = "i") -> DataFrame:

@@ -179,7 +179,9 @@ def r25_form_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r26_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.questions(spark).select("place", F.explode("options").alias("option")).select((F.col("place") + 1).alias("number"), F.upper("option").alias("label"))
+    """Every part as an entry of a list: its number, its label, and where it leads."""
+    number = F.col("p_partkey") + 1
+    return load(spark, sf_dir, "part").select(number.alias("number"), F.upper("p_name").alias("label"), F.concat(F.lit("/parts/"), number.cast("string")).alias("href"))
 
 
 def r27_indexed_map(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,12 +99,7 @@ ORACLE_SQL: dict[str, str] = {
     "r25_form_sink": f"""
         WITH {SUBMISSIONS} SELECT c_custkey, name, email, message, 'contact' AS form_name
         FROM checked WHERE bot_field = '' AND name <> '' AND email_ok AND message <> ''""",
-    "r26_projection": """
-        SELECT * FROM (VALUES
-          (1, 'SCREENING CVS OR JOB APPLICATIONS'), (1, 'CREDIT SCORING OR INSURANCE RISK'), (1, 'ELIGIBILITY FOR PUBLIC BENEFITS OR SERVICES'),
-          (1, 'SAFETY-CRITICAL SYSTEMS OR INFRASTRUCTURE'), (1, 'GENERAL PRODUCTIVITY TOOLS (COPILOT, CHATGPT, ETC.)'), (1, 'WE DON''T USE AI YET'),
-          (2, 'YES'), (2, 'NO'), (2, 'NOT SURE'), (3, 'UNDER 10'), (3, '10–50'), (3, '50–250'), (3, '250+'),
-          (4, 'IN THE LAST 6 MONTHS'), (4, 'OVER A YEAR AGO'), (4, 'NEVER'), (4, 'WE DON''T HAVE ANY')) AS t(number, label)""",
+    "r26_projection": "SELECT p_partkey + 1 AS number, upper(p_name) AS label, '/parts/' || (p_partkey + 1) AS href FROM part",
     "r27_indexed_map": """
         SELECT vec_id, i, i * 80 AS delay_ms, CASE WHEN i >= 6 THEN 'accent' ELSE 'plain' END AS colour,
                CASE WHEN i < 6 THEN 0.6::DOUBLE + i * 0.06::DOUBLE ELSE 1.0::DOUBLE END AS opacity

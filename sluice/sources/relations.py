@@ -40,14 +40,5 @@ RESULTS = (
 )
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *q) for k, q in enumerate(QUESTIONS)], "place int, question string, note string, multi boolean, options array<string>")
-
-
 def results(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RESULTS, "result string, heading string, link string")
-
-
-def links(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *x) for k, x in enumerate(LINKS)], "place int, href string, label string")
-

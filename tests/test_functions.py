@@ -102,3 +102,33 @@ def test_logs_against_loops(spark, log):
     assert {r[0]: r[1] for r in interaction.step_machine(df).collect()} == states
     clicks = spark.createDataFrame(list(folds.items()), "user_id int, clicks array<string>")
     assert {r[0]: r[1] for r in clicks.select("user_id", answers.toggled_all("clicks")).collect()} == selected
+
+
+def test_addresses_of_any_length(spark):
+    texts = {"x@" + "a." * 30_000 + "com": True, "x@" + "a" * 63 + ".com": True, "x@" + "a" * 64 + ".com": False, "x" * 60_000 + "@b.com": True, "x@" + "a." * 30_000: False, "x@a-.com": False, "x@a--b.c": True, "x@" + "a-" * 30_000: False}
+    df = spark.createDataFrame([(t,) for t in texts], "email string").repartition(2)
+    assert {r["email"]: r["ok"] for r in df.select("email", records.is_email(F.col("email")).alias("ok")).collect()} == texts
+
+
+def test_lookup_broadcasts_what_is_counted_small(spark):
+    rows, table = spark.range(30).withColumn("k", F.col("id") % 7), spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for most in (10, 3):
+        got = interaction.look_up(rows, table, "k", most)
+        assert {(r["id"], r["v"]) for r in got.collect()} == {(i, i % 7 * 2) for i in range(30)}
+    assert "ResolvedHint" not in interaction.look_up(rows, table, "k", 3)._jdf.queryExecution().analyzed().toString()
+
+
+def test_step_machine_of_one_busy_key(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(interaction, "FAN_BITS", 3)
+    rng = random.Random(7)
+    log = [(1 if rng.random() < 0.95 else 2, i, rng.choice(["next", "back", "reset", "other", None])) for i in range(3000)]
+    states = {}
+    for u, _, a in log:
+        s = states.get(u, 0)
+        states[u] = 0 if a == "reset" else s if s == 4 else s + 1 if a == "next" else max(0, s - 1) if a == "back" else s
+    # All at the same time: the ids give the order.
+    df = spark.createDataFrame(log, "user_id int, event_id int, action string").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).repartition(4)
+    for parts in (1, 6):
+        assert {r[0]: r[1] for r in interaction.step_machine(df, parts=parts).collect()} == states

@@ -7,10 +7,12 @@ line ends), counted per language.
    language has at least its share of them in some shard: support times the shard's share
    of the language's words, rounded up. Each shard is mined completely at that lowered
    support: words, then pairs of locally frequent words, then longer runs in which all
-   pairs are locally frequent. Counts are partial sums of 64-bit hashes.
+   pairs are locally frequent. Counts are partial sums of hashes (of HASH_BITS bits:
+   phrases that share one are counted together, which can only let more of them pass).
 2. The union of all shards' locally frequent phrases are the candidates.
-3. All candidates are counted exactly over all documents, by their words, and those that
-   have `support` occurrences stay.
+3. All candidates are counted exactly over all documents, and those that have `support`
+   occurrences stay. A task counts by 64-bit hashes and spells each phrase once, up to
+   HELD_PHRASES at a time; tasks' counts are summed by the phrases' words.
 
 What a step needs of the one before it, which phrases are frequent, reaches the tasks as
 a Bloom filter of BLOOM_BITS bits, whatever their number. A filter lets some others
@@ -37,21 +39,26 @@ from ..operators.topk import top_per_group
 from .common import hinted, settled, ship_code, text_bytes, tidy
 from .neardup import BYTE_VALUES, PLACES, POWER, mixed, parts
 
-SHARDS, LONGEST, SUPPORT, TOP = 8, 5, 100, 2000
+SHARDS, LONGEST, SUPPORT, TOP = 4, 5, 100, 2000
 UND = "und"
 #: Bits of a filter (8 MB); it is full of use up to some ten million phrases.
-BLOOM_BITS, BLOOM_HASHES = 1 << 26, 4
+BLOOM_LOG, BLOOM_HASHES = 26, 4
+BLOOM_BITS = 1 << BLOOM_LOG
 #: Language codes share so many cells, so that thresholds are at most CELLS * SHARDS rows. Languages that share a cell have the lower of their thresholds.
 CELLS = 4096
-#: Phrases counted together before they are sent on.
-HELD = 1_000_000
+#: A local count's key: the cell above, and so many bits of the phrase's hash below.
+HASH_BITS = 48
+#: Phrases counted together before their sums are sent on, and different phrases that a task spells.
+HELD, HELD_PHRASES = 2_000_000, 500_000
 #: Frequent phrases are broadcast up to this many (about 100 bytes each).
 BROADCAST_PHRASES = 200_000
+#: A word, for counting alone: what neither parts words nor pieces.
+WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 
 _random = np.random.default_rng(29)
-OTHER_BYTES = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OTHER_PLACES = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PROBES = _random.integers(1, 2**63, BLOOM_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+CELL_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+LOW = np.uint64((1 << HASH_BITS) - 1)
 GAP = np.isin(np.arange(256), [0x20, 0x09])
 BREAK = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
 
@@ -78,13 +85,13 @@ class Words:
         ends = np.where(at < len(stop), stop[np.minimum(at, max(len(stop) - 1, 0))] if len(stop) else len(data), len(data))
         self.ends = np.minimum(ends, offsets[self.row + 1])
 
-    def hashes(self, table: np.ndarray) -> np.ndarray:
+    def hashes(self) -> np.ndarray:
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         size = np.diff(np.r_[0, self.starts, len(self.data)])
         place = np.arange(len(self.data)) - np.repeat(np.r_[0, self.starts], size)
         powers = np.multiply.accumulate(np.full(int(place.max()) + 1, POWER, np.uint64))
-        values = table[self.data] * powers[place]
+        values = BYTE_VALUES[self.data] * powers[place]
         values[self.out] = 0
         return mixed(np.add.reduceat(values, self.starts))
 
@@ -99,12 +106,14 @@ class Words:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[at : at + k].tolist(), self.ends[at : at + k].tolist(), strict=True)).decode()
 
 
-def phrase_hashes(words: np.ndarray, at: np.ndarray, k: int, seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Of the runs of k words from at; seeds: a number per word that tells languages apart."""
-    out = seeds[at] + places[:1] * np.uint64(k)
-    for j in range(k):
-        out = out + words[at + j] * places[j + 1]
-    return mixed(out)
+def phrase_hashes(words: np.ndarray, seeds: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """Of 1 to longest words: sums, to be mixed, over the run that begins at each word
+    (shorter by the words that none begins at). seeds tell languages apart."""
+    total = seeds + words * PLACES[1]
+    yield total
+    for k in range(2, longest + 1):
+        total = total[:-1] + words[k - 1 :] * PLACES[k]
+        yield total
 
 
 def language_seeds(column: pa.Array) -> np.ndarray:
@@ -113,37 +122,38 @@ def language_seeds(column: pa.Array) -> np.ndarray:
     return seeds[coded.indices.to_numpy()]
 
 
-def bits_of(keys: np.ndarray) -> Iterator[np.ndarray]:
-    for factor in PROBES:
-        yield (mixed(keys * factor) % np.uint64(BLOOM_BITS)).astype(np.int64)
+def bits_of(keys: np.ndarray, probe: int) -> np.ndarray:
+    return ((keys * PROBES[probe]) >> np.uint64(64 - BLOOM_LOG)).astype(np.int64)
 
 
 def is_in(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(keys), bool)
-    for bit in bits_of(keys):
-        ok &= (bloom[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-    return ok
+    """The places of the keys that the filter lets pass."""
+    at = np.arange(len(keys))
+    for probe in range(BLOOM_HASHES):
+        bit = bits_of(keys, probe)
+        ok = (bloom[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
+        at, keys = at[ok], keys[ok]
+    return at
 
 
 def in_cell(hashes: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return mixed(hashes ^ (cells.astype(np.uint64) * PLACES[7]))
+    """Keys for a filter, of hashes cut to HASH_BITS within their cells."""
+    return (hashes & LOW) ^ (cells.astype(np.uint64) * CELL_FACTOR)
 
 
-def filter_of(rows: DataFrame, by_cell: bool) -> np.ndarray:
-    """A Bloom filter of the hashes h of rows, each within its cell or alone."""
+def filter_of(keys: DataFrame, by_cell: bool) -> np.ndarray:
+    """A Bloom filter of the hashes in keys (a local count's), each within its cell or alone."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column("h").to_numpy().view(np.uint64)
-            if by_cell:
-                keys = in_cell(keys, b.column("cell").to_numpy())
-            bits = np.concatenate(list(bits_of(keys)))
-            order = np.argsort(bits, kind="stable")
-            index, first = np.unique(bits[order] >> 6, return_index=True)
-            longs = np.bitwise_or.reduceat(np.uint64(1) << (bits[order] & 63).astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
+            own = b.column("key").to_numpy().view(np.uint64)
+            own = in_cell(own, own >> np.uint64(HASH_BITS)) if by_cell else own & LOW
+            bits = np.sort(np.concatenate([bits_of(own, k) for k in range(BLOOM_HASHES)]))
+            index, first = np.unique(bits >> 6, return_index=True)
+            longs = np.bitwise_or.reduceat(np.uint64(1) << (bits & 63).astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(longs.view(np.int64))], ["at", "bits"])
 
-    made = rows.select("cell", "h").mapInArrow(tidy(spread), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    made = keys.select("key").mapInArrow(tidy(spread), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     # At most BLOOM_BITS / 64 rows.
     found = made.toArrow()
     bloom = np.zeros(BLOOM_BITS // 64, np.uint64)
@@ -160,85 +170,87 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, lang_col: str, shards: in
 
 
 def local_counts(rows: DataFrame, lengths: tuple[int, ...], inner: int, bloom: np.ndarray | None) -> DataFrame:
-    """(lang, cell, h, n): how often the phrases of these lengths occur in each cell, of
-    which all runs of `inner` words are frequent there. Without a filter also each
-    language's words per cell, in rows that have a lang."""
+    """(key, n): how often the phrases of these lengths occur in each cell, of which all
+    runs of `inner` words are frequent there. key: the cell, then the phrase's hash."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: list[np.ndarray] = []
-        cells: list[np.ndarray] = []
-        held = 0
+        held: list[np.ndarray] = []
+        size = 0
 
         def sums() -> pa.RecordBatch:
-            h, c = np.concatenate(hashes), np.concatenate(cells)
-            _, first, n = np.unique(in_cell(h, c), return_index=True, return_counts=True)
-            return made([None] * len(first), c[first], h[first].view(np.int64), n)
-
-        def made(langs: list, c: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(c, pa.int32()), pa.array(h, pa.int64()), pa.array(n, pa.int64())], ["lang", "cell", "h", "n"])
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
         for b in (p for whole in batches for p in parts(whole)):
             w = Words(b.column("text"))
             if not len(w.starts):
                 continue
-            cell = b.column("cell").to_numpy()[w.row]
+            cell = b.column("cell").to_numpy().astype(np.uint64)[w.row]
             seeds = language_seeds(b.column("lang"))[w.row]
-            own = w.hashes(BYTE_VALUES)
-            if bloom is None:
-                n_words = np.bincount(w.row, minlength=b.num_rows)
-                yield made(b.column("lang").to_pylist(), b.column("cell").to_numpy(), np.zeros(b.num_rows, np.int64), n_words)
-            else:
-                good = w.runs(inner)
-                at = np.flatnonzero(good)
-                good[at] = is_in(bloom, in_cell(phrase_hashes(own, at, inner, seeds, PLACES), cell[at]))
-            for k in lengths:
-                ok = w.runs(k)
-                if bloom is not None:
-                    for j in range(k - inner + 1):
+            good = None
+            for k, total in enumerate(phrase_hashes(w.hashes(), seeds, max(lengths)), 1):
+                if k == inner and bloom is not None:
+                    at = np.flatnonzero(w.runs(k))
+                    good = np.zeros(len(w.starts), bool)
+                    good[at[is_in(bloom, in_cell(mixed(total[at]), cell[at]))]] = True
+                if k in lengths:
+                    ok = w.runs(k)
+                    for j in range(k - inner + 1) if good is not None else ():
                         ok[: len(ok) - j] &= good[j:]
-                at = np.flatnonzero(ok)
-                hashes.append(phrase_hashes(own, at, k, seeds, PLACES))
-                cells.append(cell[at])
-                held += len(at)
-            if held >= HELD:
+                    at = np.flatnonzero(ok)
+                    held.append((cell[at] << np.uint64(HASH_BITS)) | (mixed(total[at]) & LOW))
+                    size += len(at)
+            if size >= HELD:
                 yield sums()
-                hashes, cells, held = [], [], 0
-        if held:
+                held, size = [], 0
+        if size:
             yield sums()
 
-    found = rows.mapInArrow(tidy(counted), "lang string, cell int, h long, n long")
-    return found.groupBy("lang", "cell", "h").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(counted), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def exact_counts(rows: DataFrame, longest: int, bloom: np.ndarray) -> DataFrame:
     """(lang, words, phrase, n) of all candidates over all rows."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of the phrases that this task has spelled: sorted hashes, each one's place, and counts.
+        known, place, n_of = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        spelled: tuple[list[str], list[int], list[str]] = ([], [], [])
+
+        def sums() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((*spelled, n_of), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "words", "phrase", "n"])
+
         for b in (p for whole in batches for p in parts(whole)):
             w = Words(b.column("text"))
             if not len(w.starts):
                 continue
-            langs = b.column("lang").to_pylist()
             seeds = language_seeds(b.column("lang"))[w.row]
-            one, two = w.hashes(BYTE_VALUES), w.hashes(OTHER_BYTES)
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for k in range(1, longest + 1):
+            hashes, spots, lengths = [], [], []
+            for k, total in enumerate(phrase_hashes(w.hashes(), seeds, longest), 1):
                 at = np.flatnonzero(w.runs(k))
-                h = phrase_hashes(one, at, k, seeds, PLACES)
-                ok = is_in(bloom, h)
-                at, h = at[ok], h[ok]
-                # Told apart by 128 bits here, and by their words where they are summed.
-                order = np.lexsort((phrase_hashes(two, at, k, seeds, OTHER_PLACES), h))
-                at, h = at[order], h[order]
-                g = phrase_hashes(two, at, k, seeds, OTHER_PLACES)
-                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) if len(h) else np.zeros(0, np.int64)
-                n = np.diff(np.r_[first, len(h)])
-                spots = at[first].tolist()
-                out[0].extend(langs[r] for r in w.row[at[first]].tolist())
-                out[1].extend([k] * len(spots))
-                out[2].extend(w.text(s, k) for s in spots)
-                out[3].extend(n.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "words", "phrase", "n"])
+                h = mixed(total[at])
+                ok = is_in(bloom, h & LOW)
+                hashes.append(h[ok])
+                spots.append(at[ok])
+                lengths.append(np.full(len(ok), k))
+            h, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
+            spot, length = np.concatenate(spots)[first], np.concatenate(lengths)[first]
+            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            new = known[at] != h if len(known) else np.ones(len(h), bool)
+            n_of[place[at[~new]]] += n[~new]
+            langs = b.column("lang").to_pylist()
+            spelled[0].extend(langs[r] for r in w.row[spot[new]].tolist())
+            spelled[1].extend(length[new].tolist())
+            spelled[2].extend(w.text(s, k) for s, k in zip(spot[new].tolist(), length[new].tolist(), strict=True))
+            place = np.r_[place, len(n_of) + np.arange(new.sum())]
+            n_of, known = np.r_[n_of, n[new]], np.r_[known, h[new]]
+            order = np.argsort(known, kind="stable")
+            known, place = known[order], place[order]
+            if len(known) >= HELD_PHRASES:
+                yield sums()
+                known, place, n_of, spelled = known[:0], place[:0], n_of[:0], ([], [], [])
+        if len(known):
+            yield sums()
 
     found = rows.mapInArrow(tidy(counted), "lang string, words int, phrase string, n long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
@@ -249,23 +261,22 @@ def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     `support` times or more in their language; and (lang, n): each language's words."""
     ship_code(docs.sparkSession)
     rows = dealt(docs, id_col, text_col, lang_col, shards)
-    first = settled(local_counts(rows, (1,), 0, None))
-    sizes = first.where("lang IS NOT NULL").select("lang", "cell", "n")
-    totals = settled(sizes.groupBy("lang").agg(F.sum("n").alias("n")))
-    per_cell = sizes.groupBy("lang", "cell").agg(F.sum("n").alias("own")).join(totals, "lang")
+    sizes = settled(rows.groupBy("lang", "cell").agg(F.sum(F.regexp_count("text", F.lit(WORD))).alias("own")))
+    totals = settled(sizes.groupBy("lang").agg(F.sum("own").alias("n")))
     # A whole number: the least count that a phrase frequent in the language has in some cell.
     share = F.expr(f"cast((cast(own as decimal(20,0)) * {support} + n - 1) div n as long)")
-    least = settled(per_cell.where("own > 0").groupBy("cell").agg(F.min(F.greatest(share, F.lit(1))).alias("least")))
+    least = settled(sizes.where("own > 0").join(hinted(totals, BROADCAST_PHRASES), "lang").groupBy("cell").agg(F.min(F.greatest(share, F.lit(1))).alias("least")))
 
     def local(counts: DataFrame) -> DataFrame:
         # At most CELLS * SHARDS thresholds.
-        return counts.where("lang IS NULL").join(F.broadcast(least), "cell").where(F.col("n") >= F.col("least")).select("cell", "h")
+        celled = counts.withColumn("cell", F.shiftright("key", HASH_BITS).cast("int"))
+        return settled(celled.join(F.broadcast(least), "cell").where(F.col("n") >= F.col("least")).select("key"))
 
-    mined = [settled(local(first))]
+    mined = [local(local_counts(rows, (1,), 0, None))]
     if longest > 1:
-        mined.append(settled(local(local_counts(rows, (2,), 1, filter_of(mined[0], True)))))
+        mined.append(local(local_counts(rows, (2,), 1, filter_of(mined[0], True))))
     if longest > 2:
-        mined.append(settled(local(local_counts(rows, tuple(range(3, longest + 1)), 2, filter_of(mined[1], True)))))
+        mined.append(local(local_counts(rows, tuple(range(3, longest + 1)), 2, filter_of(mined[1], True))))
     union = mined[0]
     for m in mined[1:]:
         union = union.unionByName(m)

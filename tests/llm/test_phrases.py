@@ -73,7 +73,7 @@ def test_a_full_filter_only_costs_time(spark, monkeypatch):
     docs = case(4)
     d = spark.createDataFrame([(*r, 1, 2) for r in docs], SCHEMA)
     bloom = np.full(phrases.BLOOM_BITS // 64, np.uint64(2**64 - 1))
-    monkeypatch.setattr(phrases, "filter_of", lambda rows, by_cell: bloom)
+    monkeypatch.setattr(phrases, "filter_of", lambda keys, by_cell: bloom)
     assert sorted(tuple(r) for r in phrases.collocations(d, support=20, top=25).collect()) == sorted(expected(docs, 20, 25))
 
 

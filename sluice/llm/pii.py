@@ -1,9 +1,10 @@
 """Surrogates for personal data, by DataFrame expressions alone.
 
-Entities are found by one pattern: e-mail addresses, telephone numbers, IPv4
+Entities are found by one pattern: e-mail addresses, telephone numbers, IPv4 and IPv6
 addresses, payment cards, social security numbers, IBANs, access keys, secrets
-after words such as password=, and names after a title (up to five words, with
-particles, hyphens, apostrophes and initials).
+after words such as password=, and names after one to three titles (up to five words, with
+particles, hyphens, apostrophes and initials; in capitals up to two). Where a text has
+such a name, its later mentions without a title, in full or by the surname, are found too.
 
 An entity is made of units, and each unit's surrogate is drawn from a keyed hash of
 its canonical form and kind alone:
@@ -24,8 +25,12 @@ without any letter or digit gets letters and digits.
 Distinct entities stay distinct: all units are gathered once, as sums per canonical
 form, and a surrogate that two of them would share, or that is itself a unit of the
 corpus, is drawn again with the next attempt number, until none is left. Only those
-exceptions are joined back; all others follow from the key. Names without a title
-aren't found, nor is what repeats a name without it.
+exceptions are joined back; all others follow from the key. Names that a text has
+without a title only aren't found, nor are mentions by the given name alone. A name after
+titles of both sexes or of none (Dr Kim Lee) gets given names of either.
+
+Entities may be of any length: no pattern repeats a group in a way that takes the
+stack, and no surrogate is put together in more than a few passes over its text.
 
 Defined cases: a null text stays null and has no entities; an empty one stays
 empty. Rows with the same text get the same text. Null ids need no care: rows are
@@ -52,25 +57,54 @@ MOST_ROUNDS = 60
 BROADCAST_EXCEPTIONS = 200_000
 
 LETTER = r"\p{L}\p{M}"
-EMAIL = rf"(?<![{LETTER}\p{{N}}._%+-])[{LETTER}\p{{N}}._%+-]++@(?:[{LETTER}\p{{N}}-]+\.)+\p{{L}}{{2,}}"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])"
+# Groups that repeat without a bound would recurse: a domain is one run of characters that ends as
+# a domain does, and parts of names repeat possessively, each up to where it must end.
+EMAIL = rf"(?<![{LETTER}\p{{N}}._%+-])[{LETTER}\p{{N}}._%+-]++@(?=[{LETTER}\p{{N}}-])[{LETTER}\p{{N}}.-]*\.\p{{L}}{{2,}}"
+PHONE = (
+    r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w-])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])"
+    r"|(?<![\w+.,-])00\d{1,3}(?:[ .-]\d{2,8}){2,4}(?![\w-])|(?<![\w+.,-])0\d{2,5}[ /-]\d{4,8}(?:[ -]\d{1,6})?(?![\w-])"
+)
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 IP = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.\d)"
+HEX_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
+IP6 = rf"(?<![\w:.])(?:{HEX_GROUPS}{{7}}|(?=:{{0,2}}[0-9A-Fa-f])(?:{HEX_GROUPS}{{0,6}})?::(?:{HEX_GROUPS}{{0,6}})?)(?![\w:])"
 CARD = r"(?<![\w-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{3,4}(?![\w-])"
-SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<=(?:SSN|ssn)[:# ]{1,3})\d{9}(?![\w-])"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 ACCESS_KEY = r"(?<!\w)A(?:KI|SI)A[0-9A-Z]{16}(?!\w)"
-SECRET = r"(?i:(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key)) ?[=:] ?\"?[^\s\"]{6,}\"?"
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος", "Κος")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία", "Κα")
+#: After "password is" only what has a digit is taken for one.
+SECRET = r"(?i:(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key)) ?[=:] ?\"?[^\s\"]{6,}\"?|(?i:(?<!\w)(?:password|passwd)) is \"?(?=[^\s\"]*\d)[^\s\"]{6,}\"?"
+MALE = ("Mr", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος", "Κος")
+FEMALE = ("Mrs", "Ms", "Miss", "Lady", "Dame", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία", "Κα")
+NEUTRAL = ("Dr", "Prof", "Professor", "Doktor", "Mx")
+TITLES = MALE + FEMALE + NEUTRAL
 PARTICLES = ("af", "al", "bin", "ben", "da", "das", "de", "del", "della", "den", "der", "di", "do", "dos", "du", "el", "ibn", "la", "le", "ten", "ter", "van", "von", "y", "zu", "zur")
+#: Words of a name that stay as they are, in this case only: Ben and Al are given names.
+KEPT = (*PARTICLES, "St.", "Ste.")
 #: A name's word: a capital and letters, parts after hyphens, and after apostrophes with a capital.
-NAME_WORD = rf"\p{{Lu}}(?:[{LETTER}]+|['’]\p{{Lu}}[{LETTER}]*)(?:-[{LETTER}]+|['’]\p{{Lu}}[{LETTER}]*)*"
+NAME_WORD = rf"\p{{Lu}}(?:[{LETTER}]++|['’]\p{{Lu}}[{LETTER}]*+)(?:(?:-[{LETTER}]++|['’]\p{{Lu}}[{LETTER}]*+)(?![\p{{N}}_]))*+"
 #: Scripts without capitals: two or three characters where words aren't parted, else one or two words.
 PLAIN_NAME = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]{2,3}|\p{Lo}[\p{Lo}\p{M}]+(?: \p{Lo}[\p{Lo}\p{M}]+)?"
-NAME = rf"(?<![{LETTER}\p{{N}}_])(?:{'|'.join(sorted(MALE + FEMALE, key=len, reverse=True))})\.? (?:(?:(?:{NAME_WORD}|\p{{Lu}}\.|{'|'.join(PARTICLES)}) ){{0,4}}{NAME_WORD}(?![{LETTER}\p{{N}}_])|{PLAIN_NAME})"
-KINDS = {"email": EMAIL, "secret": SECRET, "key": ACCESS_KEY, "iban": IBAN, "ip": IP, "card": CARD, "ssn": SSN, "phone": PHONE, "name": NAME}
+CAPITALS = rf"\p{{Lu}}[\p{{Lu}}\p{{M}}'’-]+"
+
+
+def _one_of(words: Iterable[str]) -> str:
+    """A pattern for any of the words, longer ones first."""
+    return "|".join(w.replace(".", r"\.") for w in sorted(words, key=len, reverse=True))
+
+
+TITLE_RUN = rf"(?:(?:{_one_of({*TITLES, *(t.upper() for t in TITLES)})})\.? ){{1,3}}"
+NOT_AFTER, NOT_BEFORE = rf"(?<![{LETTER}\p{{N}}_])", rf"(?![{LETTER}\p{{N}}_])"
+NAME = (
+    rf"{NOT_AFTER}(?:(?:(?:{_one_of(TITLES)})\.? ){{1,3}}(?:(?:(?:{NAME_WORD}|\p{{Lu}}\.|{_one_of(KEPT)}) ){{0,4}}{NAME_WORD}{NOT_BEFORE}|{PLAIN_NAME})"
+    rf"|(?:(?:{_one_of({t.upper() for t in TITLES})})\.? ){{1,3}}{CAPITALS}(?: {CAPITALS})?{NOT_BEFORE})"
+)
+KINDS = {"email": EMAIL, "secret": SECRET, "key": ACCESS_KEY, "iban": IBAN, "ip": IP, "ip6": IP6, "card": CARD, "ssn": SSN, "phone": PHONE, "name": NAME}
+#: What an entity alone looks like where its pattern asks for something before it.
+ALONE = {"ssn": r"\d{3}-?\d{2}-?\d{4}"}
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: The kind of what names a person by a name that the same text has with a title.
+MENTION = "mention"
 
 SCRIPTS = ("latin", "cyrillic", "greek")
 MALE_NAMES = (
@@ -112,32 +146,68 @@ ALPHABETS = (
 OTHER_LOWER, OTHER_UPPER = "āăąćčďđēęěğģīįķļłńņňōőœŕřśşšťţūůűųźżž", "ĀĂĄĆČĎĐĒĘĚĞĢĪĮĶĻŁŃŅŇŌŐŒŔŘŚŞŠŤŢŪŮŰŲŹŻŽ"
 HEX, PLAIN = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789"
 MARK = "\x1f"
+FOUND = "array<struct<entity: string, kind: string, units: array<struct<kind: string, canon: string>>>>"
 
 
 def kind_of(e: Column) -> Column:
     out = None
     for name, pattern in KINDS.items():
         # An entity is judged alone, so what stands around it doesn't matter any more.
-        test = e.rlike(rf"\A(?:{pattern})\z")
+        test = e.rlike(rf"\A(?:{ALONE.get(name, pattern)})\z")
         out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
-    return out
+    return out.otherwise(F.lit(MENTION))
 
 
 def may_have_entities(text: Column) -> Column:
     """What every text with an entity satisfies, by plain searches that cost little."""
-    out = text.rlike(r"\d[\d ().-]{5}")
-    for part in ("@", "=", ":", "AKIA", "ASIA", *(f"{t}{end}" for t in MALE + FEMALE for end in (" ", ". "))):
+    out = text.rlike(r"\d[\d ()./-]{5}")
+    spelled = {*TITLES, *(t.upper() for t in TITLES)}
+    # A title that begins as another one does is found with it.
+    starts = sorted(t for t in spelled if not any(t != u and t.startswith(u) for u in spelled))
+    for part in ("@", "=", ":", "AKIA", "ASIA", "assword is ", "asswd is ", "ASSWORD is ", *starts):
         out = out | F.contains(text, F.lit(part))
     return out
 
 
 def secret_value(e: Column) -> Column:
-    return F.regexp_extract(e, r"[=:] ?\"?([^\s\"]+)", 1)
+    return F.regexp_extract(e, r"(?:[=:]| is) ?\"?([^\s\"]+)", 1)
+
+
+def titles_of(e: Column) -> Column:
+    """A name's titles, with the space after them."""
+    return F.regexp_extract(e, rf"\A({TITLE_RUN})", 1)
+
+
+def bare_name(e: Column) -> Column:
+    """A name without its titles."""
+    return F.regexp_replace(e, rf"\A{TITLE_RUN}", "")
 
 
 def _lower_words(e: Column) -> Column:
-    """A name's words but title and particles, in lower case."""
-    return F.filter(F.split(F.lower(F.regexp_replace(e, r"\A\S+ ", "")), " "), lambda w: ~w.isin(*PARTICLES))
+    """A name's words but titles and particles, in lower case."""
+    return F.transform(F.filter(F.split(bare_name(e), " "), lambda w: ~w.isin(*KEPT)), lambda w: F.lower(w))
+
+
+def bare_forms(found: Column) -> Column:
+    """How a text may mention those whom it names with a title: structs of the words, in
+    full or the surname alone, and their units; longer ones first. found: structs of
+    entity, kind and units."""
+
+    def forms(x: Column) -> Column:
+        name = bare_name(x["entity"])
+        last = F.element_at(F.split(name, " "), -1)
+        full, surname = (F.struct(text.alias("form"), own.alias("units")) for text, own in ((name, x["units"]), (last, F.slice(x["units"], F.lit(-1), F.lit(1)))))
+        return F.array(full, surname)
+
+    # Where words aren't parted or have no capitals, a short name could be part of any word.
+    named = F.filter(found, lambda x: (x["kind"] == "name") & bare_name(x["entity"]).rlike(r"\p{Lu}"))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(named, forms))), lambda a, b: F.length(b["form"]) - F.length(a["form"]))
+
+
+def entity_or_mention(forms: Column) -> Column:
+    """The pattern of all entities and of what stands in forms."""
+    words = F.array_join(F.array_distinct(F.transform(forms, lambda f: F.regexp_replace(f["form"], r"([.()\[\]{}^$*+?|\\])", r"\\$1"))), "|")
+    return F.concat(F.lit(rf"{ENTITY}|{NOT_AFTER}(?=\p{{Lu}}|{_one_of(KEPT)})(?:"), words, F.lit(rf"){NOT_BEFORE}"))
 
 
 def units(e: Column, kind: Column) -> Column:
@@ -148,7 +218,9 @@ def units(e: Column, kind: Column) -> Column:
         return F.struct((F.lit(name) if isinstance(name, str) else name).alias("kind"), canon.alias("canon"))
 
     words = _lower_words(e)
-    gender = F.when(F.rtrim(F.regexp_extract(e, r"\A(\S+) ", 1), F.lit(".")).isin(*MALE), F.lit("given-m")).otherwise(F.lit("given-f"))
+    title = F.transform(F.split(F.rtrim(titles_of(e)), " "), lambda t: F.upper(F.rtrim(t, F.lit("."))))
+    male, female = (F.arrays_overlap(title, F.array(*[F.lit(t.upper()) for t in ts])) for ts in (MALE, FEMALE))
+    gender = F.when(male & ~female, F.lit("given-m")).when(female & ~male, F.lit("given-f")).otherwise(F.lit("given-n"))
     surname = unit("surname", F.element_at(words, -1))
     bare = F.lower(F.regexp_replace(e, r"[^\p{L}\p{N}]", ""))
     return (
@@ -156,7 +228,9 @@ def units(e: Column, kind: Column) -> Column:
         .when(kind == "name", F.when(F.size(words) > 1, F.array(unit(gender, F.array_join(words, " ")), surname)).otherwise(F.array(surname)))
         .when(kind == "secret", F.array(unit(kind, secret_value(e))))
         .when(kind == "ip", F.array(unit(kind, e)))
+        .when(kind == "ip6", F.array(unit(kind, F.lower(e))))
         .when((kind == "phone") & e.startswith("+"), F.array(unit(kind, F.concat(F.lit("+"), bare))))
+        .when((kind == "phone") & e.startswith("00"), F.array(unit(kind, F.concat(F.lit("+"), F.substring(bare, F.lit(3), F.length(bare))))))
         .otherwise(F.array(unit(kind, bare)))
     )
 
@@ -203,15 +277,19 @@ def secret_text(value: Column, seed: Column) -> Column:
 def filled(shape: Column, content: Column) -> Column:
     """shape with its digits and letters replaced in order by content's, in shape's case,
     and the rest of content, if it has more, at the end."""
-    letters = F.regexp_replace(content, r"[^\p{L}\p{N}]", "")
+    own = F.regexp_replace(content, r"[^\p{L}\p{N}]", "")
+    # Bound once, so that a step takes the same time however long shape is.
+    bound = F.struct(F.split(shape, r"[\p{L}\p{N}]", -1).alias("gaps"), F.split(own, "").alias("letters"), own.alias("own"), F.regexp_extract_all(shape, F.lit(r"[\p{L}\p{N}]"), F.lit(0)).alias("marks"))
+
+    def put(b: Column) -> Column:
+        def one(c: Column, k: Column) -> Column:
+            letter = F.coalesce(F.get(b["letters"], k), F.lit(""))
+            return F.concat(F.get(b["gaps"], k), F.when(c != F.lower(c), F.upper(letter)).otherwise(letter))
 
-    def put(acc: Column, c: Column) -> Column:
-        own = F.substring(letters, acc["k"] + 1, F.lit(1))
-        cased = F.when(c != F.lower(c), F.upper(own)).otherwise(own)
-        is_own = c.rlike(r"[\p{L}\p{N}]")
-        return F.struct(F.concat(acc["out"], F.when(is_own, cased).otherwise(c)).alias("out"), (acc["k"] + is_own.cast("int")).alias("k"))
+        rest = F.substring(b["own"], F.size(b["marks"]) + 1, F.length(b["own"]))
+        return F.concat(F.array_join(F.transform(b["marks"], one), ""), F.element_at(b["gaps"], -1), rest)
 
-    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), put, lambda a: F.concat(a["out"], F.substring(letters, a["k"] + 1, F.length(letters))))
+    return F.get(F.transform(F.array(bound), put), 0)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -250,7 +328,7 @@ def made_up(word: Column, seed: Column, syllables: Column | int, ending: Column)
     return F.array_join(F.transform(F.split(word, "-"), part), "-")
 
 
-def given_names(canon: Column, seed: Column, attempt: Column, female: Column) -> Column:
+def given_names(canon: Column, seed: Column, attempt: Column, kind: Column) -> Column:
     """New given names for all words of canon but the last, in lower case. An initial
     stays one, while draws last."""
 
@@ -262,6 +340,8 @@ def given_names(canon: Column, seed: Column, attempt: Column, female: Column) ->
         short = F.when(w.endswith("."), F.concat(F.left(pick, F.lit(1)), F.lit("."))).otherwise(pick)
         return F.when(attempt < PATIENCE, short).otherwise(made_up(F.regexp_replace(w, r"\.", ""), own, 2, female))
 
+    # Of a person of unknown sex all given names are drawn from one list.
+    female = (kind == "given-f") | ((kind == "given-n") & (F.pmod(seed, F.lit(2)) == 0))
     words = F.split(canon, " ")
     return F.array_join(F.transform(F.slice(words, F.lit(1), F.size(words) - 1), one), " ")
 
@@ -281,10 +361,11 @@ def made(u: Column) -> Column:
     return (
         F.when(kind == "email", F.concat(substituted(local, seed), letters, F.lit("@"), domain))
         .when(kind == "domain", F.concat(substituted(F.regexp_extract(canon, r"\A(.*)\.[^.]*\z", 1), seed), letters, F.regexp_extract(canon, r"(\.[^.]*)\z", 1)))
-        .when(kind.isin("given-m", "given-f"), F.concat(given_names(canon, seed, u["attempt"], kind == "given-f"), letters, F.lit(" "), surname))
+        .when(kind.isin("given-m", "given-f", "given-n"), F.concat(given_names(canon, seed, u["attempt"], kind), letters, F.lit(" "), surname))
         .when(kind == "surname", F.concat(made_up(canon, seed, 4, F.lit(False)), letters))
         .when(kind == "secret", F.concat(secret_text(canon, seed), letters))
         .when(kind == "ip", octets)
+        .when(kind == "ip6", F.concat(F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.when(c == ":", c).otherwise(draw(seed, i, F.lit(HEX)))), ""), digits))
         .when(kind == "card", F.concat(card_digits(canon, seed), digits))
         .otherwise(plain)
     )
@@ -298,17 +379,17 @@ def seeded(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
 
 def dressed_name(e: Column, own: Column) -> Column:
     """Title and particles of e as they were, its other words from its units' surrogates."""
-    words = F.split(F.regexp_replace(e, r"\A\S+ ", ""), " ")
+    words = F.split(bare_name(e), " ")
     surname = F.element_at(own, -1)
     given = F.split(F.when(F.size(own) > 1, F.element_at(own, 1)).otherwise(F.lit("")), " ")
 
     def word(w: Column, i: Column) -> Column:
-        before = F.size(F.filter(words, lambda x, j: (j < i) & ~x.isin(*PARTICLES)))
+        before = F.size(F.filter(words, lambda x, j: (j < i) & ~x.isin(*KEPT)))
         made = F.when(i == F.size(words) - 1, surname).otherwise(F.get(given, before))
         titled = F.array_join(F.transform(F.split(made, "-"), lambda p: F.initcap(p)), "-")
-        return F.when(w.isin(*PARTICLES), w).when((F.length(w) > 2) & (w == F.upper(w)), F.upper(made)).otherwise(titled)
+        return F.when(w.isin(*KEPT), w).when((F.length(w) > 2) & (w == F.upper(w)), F.upper(made)).otherwise(titled)
 
-    return F.concat_ws(" ", F.regexp_extract(e, r"\A(\S+) ", 1), F.array_join(F.transform(words, word), " "))
+    return F.concat(titles_of(e), F.array_join(F.transform(words, word), " "))
 
 
 def dressed(x: Column) -> Column:
@@ -319,8 +400,8 @@ def dressed(x: Column) -> Column:
     # A domain may have grown; its end is put back as it was.
     stem = F.regexp_extract(e, r"@(.*)\.[^.]*\z", 1)
     email = F.concat(filled(F.left(e, at - 1), F.regexp_extract(first, r"\A([^@]*)@", 1)), F.lit("@"), filled(stem, F.regexp_extract(F.element_at(own, -1), r"\A(.*)\.[^.]*\z", 1)), F.regexp_extract(e, r"(\.[^.]*)\z", 1))
-    secret = F.concat(F.regexp_extract(e, r"\A(.*?[=:] ?\"?)", 1), first, F.when(e.endswith('"'), F.lit('"')).otherwise(F.lit("")))
-    return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", first).when(kind == "name", dressed_name(e, own)).otherwise(filled(e, first))
+    secret = F.concat(F.regexp_extract(e, r"\A(\S+?(?: ?[=:]| is) ?\"?)", 1), first, F.when(e.endswith('"'), F.lit('"')).otherwise(F.lit("")))
+    return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", first).when(kind == "ip6", F.when(e.rlike("[A-F]") & (e == F.upper(e)), F.upper(first)).otherwise(first)).when(kind.isin("name", MENTION), dressed_name(e, own)).when((kind == "phone") & e.startswith("00"), filled(e, F.concat(F.lit("00"), first))).otherwise(filled(e, first))
 
 
 def exceptions(found: DataFrame, key: str) -> DataFrame:
@@ -344,10 +425,20 @@ def exceptions(found: DataFrame, key: str) -> DataFrame:
 
 def with_surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, text (with surrogates), n_entities and changed."""
-    found = docs.select(*keep, F.col(text_col).alias("__sl_text"), F.when(may_have_entities(F.col(text_col)), F.regexp_extract_all(F.col(text_col), F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("__sl_found"))
-    kinds = F.transform("__sl_found", lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
-    parted = F.transform(kinds, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), units(x["entity"], x["kind"]).alias("units")))
-    described = found.select(*keep, "__sl_text", parted.alias("__sl_found"))
+    def described_by(pattern: Column) -> Column:
+        entities = F.regexp_extract_all("__sl_text", pattern, F.lit(0))
+        kinds = F.transform(entities, lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
+        return F.transform(kinds, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), units(x["entity"], x["kind"]).alias("units")))
+
+    rows = docs.select(*keep, F.col(text_col).alias("__sl_text"))
+    first = described_by(F.lit(ENTITY))
+    found = rows.withColumn("__sl_first", F.when(may_have_entities(F.col("__sl_text")), first).otherwise(F.array().cast(FOUND)))
+    named = found.withColumn("__sl_forms", F.when(F.exists("__sl_first", lambda x: x["kind"] == "name"), bare_forms(F.col("__sl_first"))))
+    mentioned = F.size("__sl_forms") > 0
+    known = lambda x: F.get(F.filter("__sl_forms", lambda f: f["form"] == x["entity"]), 0)["units"]
+    with_mentions = F.transform(described_by(F.col("__sl_pattern")), lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), F.when(x["kind"] == MENTION, known(x)).otherwise(x["units"]).alias("units")))
+    patterned = named.withColumn("__sl_pattern", F.when(mentioned, entity_or_mention(F.col("__sl_forms"))).otherwise(F.lit(ENTITY)))
+    described = patterned.select(*keep, "__sl_text", "__sl_pattern", F.when(mentioned, with_mentions).otherwise(F.col("__sl_first")).alias("__sl_found"))
     each = described.where(F.size("__sl_found") > 0).select("__sl_text", F.explode("__sl_found").alias("x")).select("__sl_text", F.explode("x.units").alias("u"))
     taken = settled(exceptions(each.select("u.*"), key))
     if taken.isEmpty():
@@ -367,7 +458,7 @@ def with_surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY, kee
     ready = F.transform("__sl_found", lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), F.transform(x["units"], attempted).alias("units")))
     finished = F.transform(ready, lambda x: F.struct(x["entity"].alias("entity"), x["kind"].alias("kind"), F.transform(x["units"], made).alias("made")))
     some = F.size("__sl_found") > 0
-    text = F.array_join(F.zip_with(F.split("__sl_text", ENTITY, -1), F.transform(finished, dressed), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    text = F.array_join(F.zip_with(F.split("__sl_text", F.col("__sl_pattern"), -1), F.transform(finished, dressed), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     return joined.select(
         *keep,
         F.when(some, text).otherwise(F.col("__sl_text")).alias("text"),

@@ -12,9 +12,13 @@ Forward-backward is exact and runs on blocks of BLOCK words at once: each block
 first reduced to one transfer matrix, entries and exits of blocks are then carried
 along the documents, and last all blocks are filled in together.
 
-Training maximises the CRF's likelihood on a bounded sample: for each language
-about PER_LANGUAGE labelled documents, chosen by their ids' hashes, whole texts,
-each word labelled with its document's language. Weights start from the words'
+Training maximises the CRF's likelihood on a bounded sample: of each language the
+PER_LANGUAGE labelled documents whose ids have the least hashes, whole texts, as far as
+they fit its share of MOST_CHARS; each word is labelled with its document's language.
+However frequent other languages are, and however long their documents, a language
+among the MOST_LANGUAGES most frequent has a document at least. A quarter of
+the sample is spliced, two documents of different languages in turns of TURN words, so
+that moves between languages are learned too. Weights start from the words'
 smoothed log odds. Sampling and training take the same time at any input size.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0. A null
@@ -37,16 +41,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.topk import top_per_group
 from .common import let_go, process_cache, ship_code, tidy
 
 UND = "und"
 PER_LANGUAGE = 150
-#: The sample's other bounds: labels, the most frequent first, and characters in all.
+#: The sample's other bounds: labels, the most frequent first, and characters, which the labels share equally.
 MOST_LANGUAGES, MOST_CHARS = 256, 1_500_000
 #: Held out: crc32 of the id as text, modulo FOLDS, is HELD_OUT.
 FOLDS, HELD_OUT = 4, 2
 BUCKETS = 1 << 15
 BLOCK = 64
+#: One in so many documents of a language is spliced with one of another, in turns of so many words.
+SPLICED, TURN = 4, 25
 STEPS = 12
 LEARNING_RATE = 0.15
 DECAY = 0.02
@@ -233,6 +240,29 @@ class Tagger:
             at = end
 
 
+def spliced(seqs: list[np.ndarray], gold: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sequences of all words of seqs, and each word's label. Chosen documents of two
+    labels take turns in one sequence; all others stay as they are."""
+    turn, chosen = Counter(), []
+    for i, g in enumerate(gold):
+        turn[g] += 1
+        if turn[g] % SPLICED == 0:
+            chosen.append((turn[g], g, i))
+    # Sorted by turn, neighbours are of different labels.
+    chosen.sort()
+    pairs = [(a[2], b[2]) for a, b in zip(chosen[::2], chosen[1::2], strict=False) if a[1] != b[1]]
+    used = {i for pair in pairs for i in pair}
+    words = [seqs[i] for i in range(len(seqs)) if i not in used]
+    labels = [np.full(len(seqs[i]), gold[i]) for i in range(len(seqs)) if i not in used]
+    for pair in pairs:
+        parts = [(k // TURN, side, seqs[i][k : k + TURN], gold[i]) for side, i in enumerate(pair) for k in range(0, len(seqs[i]), TURN)]
+        parts.sort(key=lambda x: x[:2])
+        if parts:
+            words.append(np.concatenate([x[2] for x in parts]))
+            labels.append(np.concatenate([np.full(len(x[2]), x[3]) for x in parts]))
+    return words, labels
+
+
 def train(texts: list[str], labels: list[str]) -> Tagger | None:
     """A tagger from labelled texts, or None if no text has a word."""
     languages = sorted(set(labels))
@@ -246,10 +276,9 @@ def train(texts: list[str], labels: list[str]) -> Tagger | None:
         return None
     number = dict(zip((vocabulary[i] for i in worded.tolist()), range(len(worded)), strict=True))
     seqs = [np.array([number[w] for w in words if w in number], np.int64) for words in split]
-    gold_doc = np.array([languages.index(x) for x in labels])
-    words = np.concatenate(seqs)
+    seqs, gold_words = spliced(seqs, [languages.index(x) for x in labels])
+    words, gold = np.concatenate(seqs), np.concatenate(gold_words)
     first = np.r_[0, np.cumsum([len(s) for s in seqs])].astype(np.int64)
-    gold = np.repeat(gold_doc, np.diff(first))
     # Counts of each word by language, features' smoothed log odds, lexicons.
     n_words = len(worded)
     counts = np.stack([np.bincount(words[gold == x], minlength=n_words) for x in range(k)], axis=1).astype(float)
@@ -276,9 +305,8 @@ def train(texts: list[str], labels: list[str]) -> Tagger | None:
     # Gradient ascent with per-weight step sizes.
     states = [[weights, 0, 0], [lexicon_weights, 0, 0], [moves, 0, 0]]
     gold_moves = np.zeros((k, k))
-    inner = np.diff(first) - 1
-    for x in range(k):
-        gold_moves[x, x] = inner[(gold_doc == x) & (inner > 0)].sum()
+    for g in gold_words:
+        np.add.at(gold_moves, (g[:-1], g[1:]), 1)
     for step in range(1, STEPS + 1):
         word_scores = np.add.reduceat(weights[buckets], begins, axis=0) + known @ lexicon_weights
         gamma, expected = forward_backward(word_scores[words], first, moves, pairs=True)
@@ -298,26 +326,28 @@ def fold(id_col: str) -> F.Column:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, most_chars: int = MOST_CHARS) -> DataFrame:
-    """(text, lang): about per_language documents of each of the most_languages most
-    frequent labels, at most twice as many in all, from the folds that aren't held out.
-    They are taken in the order of their ids' hashes as long as their whole texts
-    together have most_chars characters at most (the first one always)."""
+    """(text, lang): of each of the most_languages most frequent labels at most per_language
+    different documents, from the folds that aren't held out, in the order of their ids'
+    hashes as long as their whole texts fit the label's share of most_chars. A label of
+    which no document fits that share gives its shortest one."""
     usable = docs.where((fold(id_col) != HELD_OUT) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    usable = usable.select(F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(1 << 30)).alias("place"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not sizes:
-        return usable.select("text", "lang").limit(0)
-    rate = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))]), F.col("lang"))
-    drawn = usable.where(F.col("lang").isin(*[r["lang"] for r in sizes]) & (F.col("place") < rate * (1 << 30)))
-    # Which rows fit is settled on narrow rows, as few as the sample has; texts follow.
-    spots = drawn.select("place", F.xxhash64("text").alias("tie"), F.length("text").alias("chars")).orderBy("place", "tie").limit(2 * per_language * len(sizes))
-    so_far = F.sum("chars").over(Window.orderBy("place", "tie").rowsBetween(Window.unboundedPreceding, 0))
-    fitting = spots.withColumn("so_far", so_far).where((F.col("so_far") <= most_chars) | (F.col("so_far") == F.col("chars")))
-    last = fitting.agg(F.max(F.struct("place", "tie")).alias("last")).first()["last"]
-    if last is None:
+    usable = usable.select(F.xxhash64(F.col(id_col), F.lit(7)).alias("place"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    names = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
+    if not names:
         return usable.select("text", "lang").limit(0)
-    inside = (F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.xxhash64("text") <= last["tie"]))
-    return drawn.where(inside).orderBy("place", "text").limit(2 * per_language * len(sizes)).select("text", "lang")
+    share = most_chars // len(names)
+    # Which rows are taken is settled on narrow rows, a few per label and task; texts follow.
+    over = F.greatest(F.length("text") - share, F.lit(0)).cast("long")
+    spots = usable.where(F.col("lang").isin(*names)).select("lang", over.alias("over"), "place", "tie", F.length("text").cast("long").alias("chars"))
+    near = top_per_group(spots, ["lang"], [("over", False), ("place", False), ("tie", False)], per_language)
+    # Repeated rows are one document of the sample.
+    once = near.groupBy("lang", "over", "place", "tie").agg(F.min("rank").alias("rank"), F.max("chars").alias("chars"))
+    so_far = F.sum("chars").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
+    taken = once.withColumns({"so_far": so_far, "first": first}).where((F.col("so_far") <= share) | (F.col("first") == 1)).select("lang", "place", "tie")
+    # At most per_language * most_languages rows of three numbers.
+    texts = usable.join(F.broadcast(taken), ["lang", "place", "tie"]).dropDuplicates(["lang", "place", "tie"])
+    return texts.orderBy("lang", "place", "tie").select("text", "lang")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Tagger | None:

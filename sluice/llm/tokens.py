@@ -9,7 +9,12 @@ a known pair leave. The symbols that survive are the tokens. A pair that holds a
 merged symbol always ranks after the merge that made the symbol, so the rounds
 give what merging one pair at a time gives.
 
-Counts are kept per part in a bounded cache of the Python worker.
+Sequences of more than LONG symbols take their rounds each on its own, as they have
+many: their pairs wait by rank, and a round looks up only the pairs beside its merges,
+so that all rounds together take little more time than the symbols there are.
+
+Counts are kept per part in a cache of the Python worker, bounded in entries and
+characters.
 
 Defined cases: a null text counts as empty and has 0 bytes and tokens. Special
 strings inside texts are found before normalising and count as one token each, as
@@ -20,6 +25,7 @@ are ignored. Texts are held a batch at a time.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -36,7 +42,9 @@ from .common import process_cache, ship_code, tidy
 SPACE_CLASS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: str.split() also parts at these, which the vocabulary takes as symbols.
 SEPARATOR_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
-CACHE_PARTS = 1_000_000
+CACHE_PARTS, CACHE_CHARS = 1_000_000, 32_000_000
+#: Symbols of a sequence that is merged on its own.
+LONG = 400
 OVER = 2048
 NEVER = np.int64(1) << 40
 
@@ -75,6 +83,7 @@ class RankMerger:
         self.space = regex.compile(f"[{SPACE_CLASS}]+")
         self.counts: dict[str, int] = {}  # by part of text
         self.words: dict[str, int] = {}  # by pre-token
+        self.held = 0  # characters in both
 
     def pretokens(self, section: str) -> list[str]:
         text = section if section.isascii() else unicodedata.normalize("NFC", section)
@@ -84,6 +93,73 @@ class RankMerger:
 
     def merge(self, words: list[bytes]) -> np.ndarray:
         """How many symbols each of the words (none empty) is left with."""
+        out = np.zeros(len(words), np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.flatnonzero(size <= LONG)
+        if len(short):
+            out[short] = self.merge_together([words[i] for i in short.tolist()])
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = self.merge_alone(words[i])
+        return out
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = (left << 20) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+
+    def merge_alone(self, word: bytes) -> int:
+        """How many symbols a long word is left with: a chain of symbols, whose pairs wait
+        by rank. What has changed since a pair was put there is seen by its rank."""
+        data = np.frombuffer(word, np.uint8)
+        n = len(data)
+        symbols = self.inner[data]
+        symbols[-1] = self.final[data[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ranks = np.full(n + 1, NEVER)  # of the pair that begins at a place; the last has none
+        ranks[: n - 1] = self.pair_ranks(symbols[:-1], symbols[1:])
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[ranks[places] < NEVER]
+            places = places[np.argsort(ranks[places], kind="stable")]
+            own = ranks[places]
+            for part in np.split(places, np.flatnonzero(np.diff(own)) + 1) if len(places) else ():
+                rank = int(ranks[part[0]])
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(heap, rank)
+                waiting[rank].append(part)
+
+        wait(np.arange(n - 1))
+        left = n
+        while heap:
+            rank = heapq.heappop(heap)
+            places = np.unique(np.concatenate(waiting.pop(rank)))
+            places = places[ranks[places] == rank]
+            if not len(places):
+                continue
+            # Of pairs that overlap (x x x), every second one from the left.
+            head = np.r_[True, after[places[:-1]] != places[1:]]
+            number = np.arange(len(places))
+            first = np.maximum.accumulate(np.where(head, number, 0))
+            places = places[(number - first) % 2 == 0]
+            gone = after[places]
+            symbols[places] = self.made[rank]
+            ranks[gone] = NEVER
+            after[places] = after[gone]
+            inside = after[places] < n
+            before[after[places[inside]]] = places[inside]
+            left -= len(places)
+            beside = np.unique(np.r_[places, before[places][before[places] >= 0]])
+            follower = after[beside]
+            ends = follower >= n
+            ranks[beside] = np.where(ends, NEVER, self.pair_ranks(symbols[beside], symbols[np.where(ends, 0, follower)]))
+            wait(beside)
+        return left
+
+    def merge_together(self, words: list[bytes]) -> np.ndarray:
+        """merge for words of which none is long."""
         n = len(words)
         length = np.fromiter(map(len, words), dtype=np.int64, count=n)
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
@@ -93,9 +169,7 @@ class RankMerger:
         out = length.copy()
         who = np.repeat(np.arange(n), length)  # the word of each symbol still in play
         while len(symbols) > 1:
-            key = (symbols[:-1] << 20) | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == key) & (who[:-1] == who[1:]), self.ranks[at], NEVER)
+            rank = np.where(who[:-1] == who[1:], self.pair_ranks(symbols[:-1], symbols[1:]), NEVER)
             starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
             best = np.minimum.reduceat(np.r_[rank, NEVER], starts)
             size = np.diff(np.r_[starts, len(who)])
@@ -129,6 +203,8 @@ class RankMerger:
         fresh = list({w for _, _, words in plan for w in words}.difference(known))
         if fresh:
             known.update(zip(fresh, self.merge([w.encode() for w in fresh]).tolist(), strict=True))
+            self.held += sum(map(len, fresh))
+        self.held += sum(map(len, parts))
         for part, fixed, words in plan:
             self.counts[part] = fixed + (known[words[0]] if len(words) == 1 else sum(map(known.__getitem__, words)))
 
@@ -147,9 +223,10 @@ class RankMerger:
                 batch.append(self.parts(texts[done]))
                 size += len(texts[done])
                 done += 1
-            for cache in (self.counts, self.words):
-                if len(cache) > CACHE_PARTS:
-                    cache.clear()
+            if max(len(self.counts), len(self.words)) > CACHE_PARTS or self.held > CACHE_CHARS:
+                self.counts.clear()
+                self.words.clear()
+                self.held = 0
             unseen = set().union(*batch).difference(self.counts)
             if unseen:
                 self.learn(unseen)

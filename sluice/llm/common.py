@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import gc
 import os
-import re
 import sys
 import tempfile
 import zipfile
@@ -16,9 +15,11 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import hinted, ranked, scratch_ready, settled, small_enough  # noqa: F401
+
 #: White space that parts words, and a word, as Java and RE2 patterns.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,38 +33,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_ready(spark: SparkSession) -> None:
-    """Names a checkpoint folder where the session has none.
-
-    A cluster names a shared folder in spark.checkpoint.dir, which is used as it
-    is. Only a session in one local process, as in tests, gets a folder of its own; on
-    a cluster without that setting what a lost executor held would be gone, so that
-    is an error.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.match(r"local(\[|$)", sc.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sluice-ck-"))
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, lineage cut.
-
-    A checkpoint takes its plan's size estimate and constraints along. Where a loop
-    joins a table with itself these would double with every round, so the result is
-    a frame of the written rows and the schema alone. Spark deletes the files when
-    the frame is collected if spark.cleaner.referenceTracking.cleanCheckpoints is set.
-    """
-    spark = df.sparkSession
-    scratch_ready(spark)
-    kept = df.checkpoint(eager=True)
-    rows = kept._jdf.queryExecution().analyzed().rdd()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
-
-
 _shipped: set[str] = set()
 
 
@@ -144,34 +113,6 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def small_enough(df: DataFrame, most_rows: int) -> bool:
-    """Whether df has at most so many rows, without counting further than that."""
-    return df.limit(most_rows + 1).count() <= most_rows
-
-
-def hinted(df: DataFrame, most_rows: int) -> DataFrame:
-    """df marked for broadcast if a count proves it small; else as it is, for a
-    shuffled join whose skewed partitions adaptive execution splits."""
-    return F.broadcast(df) if small_enough(df, most_rows) else df
-
-
-def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """df with its rank from 0 in the given order, found without one task seeing
-    all rows: rows are range-partitioned and numbered within each partition, and
-    the partitions' sizes, as few as there are partitions, give the offsets."""
-    rows = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__sl_at", F.monotonically_increasing_id()))
-    part = F.shiftright("__sl_at", 33)
-    sizes = rows.groupBy(part.alias("__sl_part")).count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("__sl_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("__sl_part", before.alias("__sl_before"))
-    return (
-        rows.withColumn("__sl_part", part)
-        .join(F.broadcast(offsets), "__sl_part")
-        .withColumn(name, F.col("__sl_before") + F.col("__sl_at").bitwiseAND((1 << 33) - 1))
-        .drop("__sl_part", "__sl_at", "__sl_before")
-    )
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A text column's UTF-8 bytes end to end, and where each row begins; nulls are empty."""
     if column.null_count:

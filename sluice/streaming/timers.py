@@ -110,7 +110,8 @@ def marked_late(events: DataFrame, late_ms: int, key: str = "user_id", idle_ms:
     """All rows of a stream, with is_late (its time is more than late_ms before the key's
     latest one of earlier batches) and late_so_far (the key's late rows up to this one). None
     is dropped: a sink for rows on time and one for late ones take them by is_late. With
-    idle_ms a key that has no rows for so long, by the clock, is forgotten.
+    idle_ms a key that has no rows for so long, by the clock, is forgotten; Spark then
+    watches the clock, so that such a stream doesn't end by itself when all is read.
 
     Defined cases: rows without a time are left out before, as they are neither; a null
     key is a key. Append mode; rows have ts as a timestamp.
@@ -118,7 +119,7 @@ def marked_late(events: DataFrame, late_ms: int, key: str = "user_id", idle_ms:
     with_state_store(events.sparkSession)
     rows = events.where("ts IS NOT NULL").withColumn("ts_ms", F.unix_millis("ts"))
     schema = StructType([*rows.schema.fields, StructField("is_late", BooleanType()), StructField("late_so_far", LongType())])
-    out = rows.groupBy(key).transformWithStateInPandas(LateRows(key, late_ms, idle_ms), schema, "append", "processingTime")
+    out = rows.groupBy(key).transformWithStateInPandas(LateRows(key, late_ms, idle_ms), schema, "append", "processingTime" if idle_ms else "none")
     return out.drop("ts_ms")
 
 

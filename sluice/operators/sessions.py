@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from .shared import ship_package
 from .windows import lagged, running
 
 FUNNEL = "funnel_steps"
@@ -52,4 +53,5 @@ class FunnelSteps:
 def register_funnel(spark: SparkSession) -> None:
     """Makes the table function known to SQL:
     SELECT * FROM funnel_steps(TABLE(t) PARTITION BY (user_id, session) ORDER BY (ts), 'a,b')."""
+    ship_package(spark)
     spark.udtf.register(FUNNEL, FunnelSteps)

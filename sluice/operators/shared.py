@@ -3,14 +3,35 @@ positions in an order that no single task sees whole."""
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+ROOT = Path(__file__).resolve().parents[2]
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once, unless their PYTHONPATH has it."""
+    sc = spark.sparkContext
+    paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if str(ROOT) in paths or sc.applicationId in _shipped:
+        return
+    name = Path(tempfile.mkdtemp(prefix="sluice-code-")) / "sluice_code.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted((ROOT / "sluice").rglob("*.py")):
+            z.write(p, p.relative_to(ROOT))
+    sc.addPyFile(str(name))
+    _shipped.add(sc.applicationId)
+
+
 def scratch_ready(spark: SparkSession) -> None:
     """Names a checkpoint folder where the session has none.
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from .shared import ship_package
+
 #: Rows that a task holds before it cuts its groups down.
 HELD_ROWS = 50_000
 #: Tasks' rows of a group are first put together in so many parts.
@@ -62,6 +64,7 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str,
     order, so name one that is unique where that matters. An empty table and k = 0 give an
     empty result. Keys and order may be of any type that Arrow can sort.
     """
+    ship_package(df.sparkSession)
     kind = StructType([*df.schema.fields, StructField("__sl_part", IntegerType())])
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,12 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
 import sys
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import hinted, ranked, scratch_ready, settled, small_enough  # noqa: F401
+from ..operators.shared import hinted, ranked, scratch_ready, settled, ship_package, small_enough  # noqa: F401
 
 #: White space that parts words, and a word, as Java and RE2 patterns.
 SPACE = r"[\x20\x09-\x0D]"
@@ -26,16 +22,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Matches only white space that isn't already one single space.
 UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
-ROOT = Path(__file__).resolve().parents[2]
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
 #: Rows of an Arrow batch, which here are whole texts. A session that sets another number than Spark's default keeps it.
 BATCH_ROWS, DEFAULT_ROWS = 1000, 10_000
 
@@ -45,16 +36,7 @@ def ship_code(spark: SparkSession) -> None:
     Arrow batches small: they lie in memory beside the heap, several a task."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == DEFAULT_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if str(ROOT) in paths or sc.applicationId in _shipped:
-        return
-    name = Path(tempfile.mkdtemp(prefix="sluice-code-")) / "sluice_code.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted((ROOT / "sluice").rglob("*.py")):
-            z.write(p, p.relative_to(ROOT))
-    sc.addPyFile(str(name))
-    _shipped.add(sc.applicationId)
+    ship_package(spark)
 
 
 def process_cache(name: str) -> dict:

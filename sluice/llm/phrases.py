@@ -7,17 +7,21 @@ line ends), counted per language.
    language has at least its share of them in some shard: support times the shard's share
    of the language's words, rounded up. Each shard is mined completely at that lowered
    support: words, then pairs of locally frequent words, then longer runs in which all
-   pairs are locally frequent. Counts are partial sums of hashes (of HASH_BITS bits:
-   phrases that share one are counted together, which can only let more of them pass).
+   pairs are locally frequent. Counts are partial sums of 64-bit hashes.
 2. The union of all shards' locally frequent phrases are the candidates.
-3. All candidates are counted exactly over all documents, and those that have `support`
-   occurrences stay. A task counts by 64-bit hashes and spells each phrase once, up to
-   HELD_PHRASES at a time; tasks' counts are summed by the phrases' words.
+3. All candidates are counted exactly over all documents. A shard that has counted a
+   candidate has counted all its occurrences there, so its sum is taken from step 1; one
+   pass over the documents counts the candidates in the shards whose mining passed them
+   over. Those that have `support` occurrences stay.
+4. They are spelled from samples of the documents, which grow until each is found. So no
+   task sends on a row for every phrase that is frequent elsewhere.
 
 What a step needs of the one before it, which phrases are frequent, reaches the tasks as
 a Bloom filter of BLOOM_BITS bits, whatever their number. A filter lets some others
 pass, never fewer; these are counted in vain and don't reach the result. A shard is a number
-in the key of a sum, not a task: any number of tasks mine it, and none holds it.
+in the key of a sum, not a task: any number of tasks mine it, and none holds it. Phrases are
+told apart by 64-bit hashes, seeded by language: of F frequent phrases among D different ones,
+some two share one with a probability of F * D / 2**64.
 
 Defined cases: a null text has no words, a null language is `und`. Null ids need no care;
 rows that repeat are documents of their own. Ties in score and count are broken by the
@@ -28,6 +32,7 @@ result. Extra columns are ignored. Long texts are held a few at a time, whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +51,10 @@ BLOOM_LOG, BLOOM_HASHES = 26, 4
 BLOOM_BITS = 1 << BLOOM_LOG
 #: Language codes share so many cells, so that thresholds are at most CELLS * SHARDS rows. Languages that share a cell have the lower of their thresholds.
 CELLS = 4096
-#: A local count's key: the cell above, and so many bits of the phrase's hash below.
-HASH_BITS = 48
-#: Phrases counted together before their sums are sent on, and different phrases that a task spells.
+#: Phrases counted together before their sums are sent on, and hashes that a task remembers to have spelled.
 HELD, HELD_PHRASES = 2_000_000, 500_000
+#: Phrases are spelled from every 64th document, then those not found there from every 8th, then from all.
+SAMPLES = (64, 8, 1)
 #: Frequent phrases are broadcast up to this many (about 100 bytes each).
 BROADCAST_PHRASES = 200_000
 #: A word, for counting alone: what neither parts words nor pieces.
@@ -58,7 +63,6 @@ WORD = r"[^\x20\x09.,;:!?\x0A-\x0D]+"
 _random = np.random.default_rng(29)
 PROBES = _random.integers(1, 2**63, BLOOM_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 CELL_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-LOW = np.uint64((1 << HASH_BITS) - 1)
 GAP = np.isin(np.arange(256), [0x20, 0x09])
 BREAK = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
 
@@ -137,23 +141,23 @@ def is_in(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def in_cell(hashes: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    """Keys for a filter, of hashes cut to HASH_BITS within their cells."""
-    return (hashes & LOW) ^ (cells.astype(np.uint64) * CELL_FACTOR)
+    """Keys for a filter, of hashes within their cells."""
+    return hashes ^ (cells.astype(np.uint64) * CELL_FACTOR)
 
 
 def filter_of(keys: DataFrame, by_cell: bool) -> np.ndarray:
-    """A Bloom filter of the hashes in keys (a local count's), each within its cell or alone."""
+    """A Bloom filter of the hashes in keys, each within its cell or alone."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = b.column("key").to_numpy().view(np.uint64)
-            own = in_cell(own, own >> np.uint64(HASH_BITS)) if by_cell else own & LOW
+            own = b.column("hash").to_numpy().view(np.uint64)
+            own = in_cell(own, b.column("cell").to_numpy()) if by_cell else own
             bits = np.sort(np.concatenate([bits_of(own, k) for k in range(BLOOM_HASHES)]))
             index, first = np.unique(bits >> 6, return_index=True)
             longs = np.bitwise_or.reduceat(np.uint64(1) << (bits & 63).astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(longs.view(np.int64))], ["at", "bits"])
 
-    made = keys.select("key").mapInArrow(tidy(spread), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    made = keys.select("hash", *["cell"][:by_cell]).mapInArrow(tidy(spread), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     # At most BLOOM_BITS / 64 rows.
     found = made.toArrow()
     bloom = np.zeros(BLOOM_BITS // 64, np.uint64)
@@ -162,64 +166,77 @@ def filter_of(keys: DataFrame, by_cell: bool) -> np.ndarray:
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, lang_col: str, shards: int) -> DataFrame:
-    """(lang, cell, text): a document's shard follows from its id and text."""
+    """(lang, cell, mark, text): a document's shard and mark follow from its id and text."""
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UND))
-    shard = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards))
-    cell = F.pmod(F.xxhash64(lang), F.lit(CELLS)) * shards + shard
-    return docs.select(lang.alias("lang"), cell.cast("int").alias("cell"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    own = F.xxhash64(F.col(id_col), F.col(text_col))
+    cell = F.pmod(F.xxhash64(lang), F.lit(CELLS)) * shards + F.pmod(own, F.lit(shards))
+    mark = F.shiftrightunsigned(own, 32)
+    return docs.select(lang.alias("lang"), cell.cast("int").alias("cell"), mark.alias("mark"), F.col(text_col).alias("text")).where("text IS NOT NULL")
 
 
-def local_counts(rows: DataFrame, lengths: tuple[int, ...], inner: int, bloom: np.ndarray | None) -> DataFrame:
-    """(key, n): how often the phrases of these lengths occur in each cell, of which all
-    runs of `inner` words are frequent there. key: the cell, then the phrase's hash."""
+#: A level of the mining: the lengths of its phrases, and a filter of the frequent runs (of
+#: so many words) that all runs within such a phrase are found in; none for words.
+Level = tuple[tuple[int, ...], int, np.ndarray | None]
+
+
+def shard_counts(rows: DataFrame, levels: list[Level], candidates: np.ndarray | None = None) -> DataFrame:
+    """(hash, cell, n), as partial sums: how often the phrases of these levels occur in each
+    cell. With candidates: of those in that filter, the ones that their level leaves out there."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: dict[int, list[np.ndarray]] = {}
         size = 0
 
         def sums() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
+            found = [(cell, *np.unique(np.concatenate(own), return_counts=True)) for cell, own in held.items()]
+            cells = np.repeat([cell for cell, _, _ in found], [len(h) for _, h, _ in found])
+            arrays = (np.concatenate([h for _, h, _ in found]).view(np.int64), cells, np.concatenate([n for _, _, n in found]))
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["hash", "cell", "n"])
 
         for b in (p for whole in batches for p in parts(whole)):
+            # In order of the cells, so that each one's words lie together.
+            b = b.take(pa.array(np.argsort(b.column("cell").to_numpy(), kind="stable")))
             w = Words(b.column("text"))
             if not len(w.starts):
                 continue
-            cell = b.column("cell").to_numpy().astype(np.uint64)[w.row]
+            cell = b.column("cell").to_numpy()[w.row]
             seeds = language_seeds(b.column("lang"))[w.row]
-            good = None
-            for k, total in enumerate(phrase_hashes(w.hashes(), seeds, max(lengths)), 1):
-                if k == inner and bloom is not None:
-                    at = np.flatnonzero(w.runs(k))
-                    good = np.zeros(len(w.starts), bool)
-                    good[at[is_in(bloom, in_cell(mixed(total[at]), cell[at]))]] = True
-                if k in lengths:
-                    ok = w.runs(k)
-                    for j in range(k - inner + 1) if good is not None else ():
+            totals = list(phrase_hashes(w.hashes(), seeds, max(k for lengths, _, _ in levels for k in lengths)))
+            for lengths, inner, bloom in levels:
+                good = np.ones(len(w.starts), bool)
+                if bloom is not None:
+                    at = np.flatnonzero(w.runs(inner))
+                    good[:] = False
+                    good[at[is_in(bloom, in_cell(mixed(totals[inner - 1][at]), cell[at]))]] = True
+                for k in lengths:
+                    runs = w.runs(k)
+                    ok = runs.copy()
+                    for j in range(k - inner + 1):
                         ok[: len(ok) - j] &= good[j:]
-                    at = np.flatnonzero(ok)
-                    held.append((cell[at] << np.uint64(HASH_BITS)) | (mixed(total[at]) & LOW))
-                    size += len(at)
+                    at = np.flatnonzero(ok if candidates is None else runs & ~ok)
+                    h = mixed(totals[k - 1][at])
+                    if candidates is not None:
+                        known = is_in(candidates, h)
+                        at, h = at[known], h[known]
+                    if len(at):
+                        cuts = np.r_[0, np.flatnonzero(np.diff(cell[at])) + 1]
+                        for c, own in zip(cell[at[cuts]].tolist(), np.split(h, cuts[1:]), strict=True):
+                            held.setdefault(c, []).append(own)
+                        size += len(at)
             if size >= HELD:
                 yield sums()
-                held, size = [], 0
+                held, size = {}, 0
         if size:
             yield sums()
 
-    return rows.mapInArrow(tidy(counted), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
+    return rows.select("lang", "cell", "text").mapInArrow(tidy(counted), "hash long, cell int, n long")
 
-def exact_counts(rows: DataFrame, longest: int, bloom: np.ndarray) -> DataFrame:
-    """(lang, words, phrase, n) of all candidates over all rows."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of the phrases that this task has spelled: sorted hashes, each one's place, and counts.
-        known, place, n_of = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        spelled: tuple[list[str], list[int], list[str]] = ([], [], [])
 
-        def sums() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((*spelled, n_of), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "words", "phrase", "n"])
+def spellings(rows: DataFrame, longest: int, bloom: np.ndarray) -> DataFrame:
+    """(hash, lang, words, phrase) of the phrases in the filter; a task tells each about once."""
 
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0, np.uint64)
         for b in (p for whole in batches for p in parts(whole)):
             w = Words(b.column("text"))
             if not len(w.starts):
@@ -229,31 +246,33 @@ def exact_counts(rows: DataFrame, longest: int, bloom: np.ndarray) -> DataFrame:
             for k, total in enumerate(phrase_hashes(w.hashes(), seeds, longest), 1):
                 at = np.flatnonzero(w.runs(k))
                 h = mixed(total[at])
-                ok = is_in(bloom, h & LOW)
+                ok = is_in(bloom, h)
                 hashes.append(h[ok])
                 spots.append(at[ok])
                 lengths.append(np.full(len(ok), k))
-            h, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
-            spot, length = np.concatenate(spots)[first], np.concatenate(lengths)[first]
-            at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            new = known[at] != h if len(known) else np.ones(len(h), bool)
-            n_of[place[at[~new]]] += n[~new]
+            h, first = np.unique(np.concatenate(hashes), return_index=True)
+            new = ~np.isin(h, known, assume_unique=True)
+            h, spot, length = h[new], np.concatenate(spots)[first[new]], np.concatenate(lengths)[first[new]]
+            known = np.union1d(known if len(known) < HELD_PHRASES else known[:0], h)
             langs = b.column("lang").to_pylist()
-            spelled[0].extend(langs[r] for r in w.row[spot[new]].tolist())
-            spelled[1].extend(length[new].tolist())
-            spelled[2].extend(w.text(s, k) for s, k in zip(spot[new].tolist(), length[new].tolist(), strict=True))
-            place = np.r_[place, len(n_of) + np.arange(new.sum())]
-            n_of, known = np.r_[n_of, n[new]], np.r_[known, h[new]]
-            order = np.argsort(known, kind="stable")
-            known, place = known[order], place[order]
-            if len(known) >= HELD_PHRASES:
-                yield sums()
-                known, place, n_of, spelled = known[:0], place[:0], n_of[:0], ([], [], [])
-        if len(known):
-            yield sums()
+            texts = [w.text(s, k) for s, k in zip(spot.tolist(), length.tolist(), strict=True)]
+            arrays = (h.view(np.int64), [langs[r] for r in w.row[spot].tolist()], length, texts)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, (pa.int64(), pa.string(), pa.int32(), pa.string()), strict=True)], ["hash", "lang", "words", "phrase"])
+
+    return rows.select("lang", "text").mapInArrow(tidy(told), "hash long, lang string, words int, phrase string")
+
 
-    found = rows.mapInArrow(tidy(counted), "lang string, words int, phrase string, n long")
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+def spelled(rows: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
+    """(lang, words, phrase, n) of frequent, which has (hash, n)."""
+    left, found = frequent, []
+    for every in SAMPLES:
+        sample = rows.where(F.col("mark") % every == 0)
+        one = F.min(F.struct("lang", "words", "phrase")).alias("one")
+        found.append(settled(spellings(sample, longest, filter_of(left, False)).groupBy("hash").agg(one).join(left, "hash").select("hash", "one.*", "n")))
+        left = settled(left.join(found[-1].select("hash"), "hash", "left_anti"))
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found).drop("hash")
 
 
 def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -265,23 +284,33 @@ def frequent_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     totals = settled(sizes.groupBy("lang").agg(F.sum("own").alias("n")))
     # A whole number: the least count that a phrase frequent in the language has in some cell.
     share = F.expr(f"cast((cast(own as decimal(20,0)) * {support} + n - 1) div n as long)")
-    least = settled(sizes.where("own > 0").join(hinted(totals, BROADCAST_PHRASES), "lang").groupBy("cell").agg(F.min(F.greatest(share, F.lit(1))).alias("least")))
-
-    def local(counts: DataFrame) -> DataFrame:
-        # At most CELLS * SHARDS thresholds.
-        celled = counts.withColumn("cell", F.shiftright("key", HASH_BITS).cast("int"))
-        return settled(celled.join(F.broadcast(least), "cell").where(F.col("n") >= F.col("least")).select("key"))
-
-    mined = [local(local_counts(rows, (1,), 0, None))]
-    if longest > 1:
-        mined.append(local(local_counts(rows, (2,), 1, filter_of(mined[0], True))))
-    if longest > 2:
-        mined.append(local(local_counts(rows, tuple(range(3, longest + 1)), 2, filter_of(mined[1], True))))
-    union = mined[0]
-    for m in mined[1:]:
-        union = union.unionByName(m)
-    counts = exact_counts(rows, longest, filter_of(union, False))
-    return settled(counts.where(F.col("n") >= support)), totals
+    in_shards = range(shards)
+    row, shard = F.expr(f"cell div {shards}"), F.col("cell") % shards
+    # At most CELLS rows: the thresholds of the cells' shards.
+    least = sizes.where("own > 0").join(hinted(totals, BROADCAST_PHRASES), "lang").withColumn("least", F.greatest(share, F.lit(1)))
+    least = settled(least.groupBy(row.alias("row")).agg(*[F.min(F.when(shard == s, F.col("least"))).alias(f"least_{s}") for s in in_shards]))
+
+    def mined(counts: DataFrame) -> DataFrame:
+        """(hash, n, cells): phrases that are frequent in some cells, and their counts in all."""
+        own = counts.repartition("hash").groupBy("hash", row.alias("row")).agg(F.sum("n").alias("n"), *[F.sum(F.when(shard == s, F.col("n"))).alias(f"n_{s}") for s in in_shards])
+        cells = F.array_compact(F.array(*[F.when(F.col(f"n_{s}") >= F.col(f"least_{s}"), (F.col("row") * shards + s).cast("int")) for s in in_shards]))
+        some = reduce(Column.__or__, [F.coalesce(F.col(f"n_{s}") >= F.col(f"least_{s}"), F.lit(False)) for s in in_shards])
+        return settled(own.join(F.broadcast(least), "row").where(some).select("hash", "n", cells.alias("cells")))
+
+    def local(found: DataFrame) -> np.ndarray:
+        return filter_of(found.select("hash", F.explode("cells").alias("cell")), True)
+
+    candidates = [mined(shard_counts(rows, [((1,), 0, None)]))]
+    levels: list[Level] = []
+    for inner, lengths in ((1, (2,)), (2, tuple(range(3, longest + 1)))):
+        if longest > inner:
+            levels.append((lengths, inner, local(candidates[-1])))
+            candidates.append(mined(shard_counts(rows, levels[-1:])))
+    union = reduce(DataFrame.unionByName, candidates).select("hash", "n")
+    if levels:
+        rest = shard_counts(rows, levels, filter_of(union, False)).groupBy("hash").agg(F.sum("n").alias("more"))
+        union = union.join(rest, "hash", "left").select("hash", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+    return spelled(rows, settled(union.where(F.col("n") >= support)), longest), totals
 
 
 def all_parts(words: Column, n: Column) -> Column:

@@ -99,3 +99,42 @@ def test_words_of_odd_texts():
     assert [w.text(i, 1) for i in range(len(w.starts))] == ["a", "b", "c", "d", "e", "f", "g", "é"]
     assert np.flatnonzero(w.runs(2)).tolist() == [0, 5]
     assert w.text(5, 2) == "f g"
+
+
+def test_a_task_sends_on_no_row_for_each_frequent_phrase(spark, monkeypatch):
+    """Rows with spelled phrases that leave the Python tasks: they grew as tasks times phrases."""
+    tasks, run = 32, " ".join(f"v{i}" for i in range(60))
+    docs = [(k, f"{run}. u{k}", "en") for k in range(4 * tasks)]
+    d = spark.createDataFrame([(*r, 1, 2) for r in docs], SCHEMA).repartition(tasks)
+    kind, made = type(d), spark.sparkContext.accumulator(0)
+    plain = kind.mapInArrow
+
+    def watched(self, step, schema, *rest, **more):
+        def counted(batches):
+            for b in step(batches):
+                made.add(b.num_rows)
+                yield b
+
+        return plain(self, counted if "phrase string" in str(schema) else step, schema, *rest, **more)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    frequent = {(r["lang"], tuple(r["phrase"].split(" "))): r["n"] for r in phrases.frequent_phrases(d)[0].collect()}
+    assert frequent == {x: n for x, n in counts(docs)[0].items() if n >= 100}
+    assert len(frequent) == 60 + 59 + 58 + 57 + 56
+    assert len(frequent) <= made.value < tasks * len(frequent) / 4
+
+
+def test_shards_that_passed_a_candidate_over_are_counted_too(spark, monkeypatch):
+    docs = case(1)
+    d = spark.createDataFrame([(*r, 1, 2) for r in docs], SCHEMA)
+    plain, rest = phrases.shard_counts, []
+
+    def watched(rows, levels, candidates=None):
+        found = plain(rows, levels, candidates)
+        rest.extend([found] if candidates is not None else [])
+        return found
+
+    monkeypatch.setattr(phrases, "shard_counts", watched)
+    frequent = phrases.frequent_phrases(d, support=20, shards=8)[0]
+    assert {(r["lang"], tuple(r["phrase"].split(" "))): r["n"] for r in frequent.collect()} == {x: n for x, n in counts(docs)[0].items() if n >= 20}
+    assert rest[0].count() > 0

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timezone
+from fractions import Fraction
 from itertools import combinations
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -45,6 +48,24 @@ def test_ease_out(spark):
     assert [r[0] for r in df.select(numbers.eased(F.col("t"), F.lit(5.0))).collect()] == [0, 1, 3, 4, 5, 5, 5]
 
 
+def test_ease_out_at_a_half_rounds_as_sql_does(spark):
+    # 200 of 1200 ms leave 5 / 6; a cube that is one unit too small lifts 30439.49... to 30439.5.
+    rows = [(k * 40.0, p) for k in range(1, 51) for p in (72_252.0, 108.0, 13_500.0, 27_000.0)]
+    got = spark.createDataFrame(rows, "t double, p double").select(numbers.eased(F.col("t"), F.col("p"))).collect()
+    with duckdb.connect() as c:
+        want = [c.execute("SELECT floor((1 - pow(1 - least(?::DOUBLE / 1200.0, 1.0), 3)) * ?::DOUBLE + 0.5)::BIGINT", r).fetchone() for r in rows]
+    assert [tuple(r) for r in got] == want and (30_439,) in want
+
+
+def test_cubes_are_the_nearest_doubles(spark):
+    rng = random.Random(5)
+    xs = [0.0, 1.0, 5 / 6, -0.25, 3e49, -1e40, 1e-60, *(rng.random() for _ in range(3000)), *(rng.uniform(-1e6, 1e6) for _ in range(500))]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(numbers.cubed(F.col("x"))).collect()
+    assert [r[0] for r in got] == [float(Fraction(x) ** 3) for x in xs]
+    odd = spark.createDataFrame([(x,) for x in (float("nan"), float("inf"), -1e200, None)], "x double").select(numbers.cubed(F.col("x"))).collect()
+    assert repr([r[0] for r in odd]) == "[nan, inf, -inf, None]"
+
+
 @pytest.mark.parametrize("zone", ["UTC", "Europe/Dublin", "America/New_York"])
 def test_days_until_depends_on_instants_only(spark, zone):
     spark.conf.set("spark.sql.session.timeZone", zone)

@@ -95,6 +95,37 @@ def test_overlap_work_follows_the_pairs(spark):
     assert "Join Inner" in met
 
 
+def shuffled_rows(spark, df):
+    """Rows that all jobs of df's run write to shuffles."""
+    stages = lambda: spark._jsc.sc().statusStore().stageList(None, False, False, spark._jvm.PythonUtils.toSeq([0.5]).toArray(spark._jvm.scala.reflect.ClassTag.Double()), None)
+    seen = {stages().apply(i).stageId() for i in range(stages().size())}
+    n = df.count()
+    found = stages()
+    return n, sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()) if found.apply(i).stageId() not in seen)
+
+
+def test_wide_ranges_go_to_few_blocks(spark):
+    """Each row has 900 matches, which are 14 blocks of 64 rows."""
+    t = spark.range(9000).select(F.col("id").alias("i"), F.col("id").alias("t"))
+    made = joins.in_range(t, t, "t", F.col("t") + 1, F.col("t") + 900, take={"i": "j"})
+    n, moved = shuffled_rows(spark, made)
+    assert n == sum(min(900, 8999 - i) for i in range(9000)) and moved < 5 * 9000
+
+
+def test_odd_values_in_ranges(spark):
+    """NaN is greater than all numbers, texts have their bytes' order, and no value is in a range without ends that meet."""
+    nan = float("nan")
+    a = spark.createDataFrame([(0, 1.0, nan), (1, nan, nan), (2, 3.0, 2.0), (3, -0.0, 0.0), (4, None, 1.0)], "i int, lo double, hi double")
+    b = spark.createDataFrame([(0, 0.0), (1, 1.5), (2, nan), (3, None), (4, float("inf"))], "j int, x double")
+    for parts in (None, 3):
+        got = joins.in_range(a, b, "x", F.col("lo"), F.col("hi"), take={"j": "j"}, parts=parts).collect()
+        assert sorted((r["i"], r["j"]) for r in got) == [(0, 1), (0, 2), (0, 4), (1, 2), (3, 0)]
+        words = spark.createDataFrame([("z",), ("\u00e9",), ("\U0001f600",), ("\uffff",), ("",), (None,)], "w string")
+        got = joins.in_range(words, words, "w", F.col("w"), None, take={"w": "v"}, closed=(False, True), parts=parts).collect()
+        order = ["", "z", "\u00e9", "\uffff", "\U0001f600"]
+        assert sorted((r["w"], r["v"]) for r in got) == sorted((x, y) for k, x in enumerate(order) for y in order[k + 1 :])
+
+
 @pytest.mark.parametrize("closed", [(True, True), (False, True), (True, False), (False, False)])
 def test_ranges_over_dense_and_hot_values(spark, closed):
     a, b = hot_log(6, 250), hot_log(7, 300)

@@ -104,6 +104,13 @@ def shuffled_rows(spark, df):
     return n, sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()) if found.apply(i).stageId() not in seen)
 
 
+def test_overlaps_are_never_broadcast(spark):
+    """Rows for each bin or block are many more than the table's size says."""
+    t = spark.range(2000).select(F.col("id").alias("i"), (F.col("id") * 10).alias("b"), (F.col("id") * 10 + F.when(F.col("id") % 50 == 0, 100_000).otherwise(F.col("id") % 40 + 1)).alias("e"))
+    df = joins.overlaps(t, t.withColumnRenamed("i", "j"), ("b", "e"), ("b", "e"), (), {"j": "j"})
+    assert "Broadcast" not in plan(df)
+
+
 def test_wide_ranges_go_to_few_blocks(spark):
     """Each row has 900 matches, which are 14 blocks of 64 rows."""
     t = spark.range(9000).select(F.col("id").alias("i"), F.col("id").alias("t"))

@@ -7,7 +7,8 @@ have been idle for long are let go.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,41 +27,58 @@ def with_state_store(spark: SparkSession) -> None:
 
 
 class DelayedEffects(StatefulProcessor):
-    """Of each key the effects that wait, as a list, and a timer for each time at which
-    one is due. A timer that fires gives what is due by then and keeps the rest."""
+    """Of each key the effects that wait, as a list of chunks of CHUNK at most, each in the order
+    in which they are due, and a timer for the first one of a batch. A timer that
+    fires gives all that is due by the watermark, keeps the rest and sets a timer for its
+    first one, so that state is read and written per key and batch, not per effect."""
+
+    CHUNK = 4096
 
     def __init__(self, key: str):
         self.key = key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "event_id long, due_ms long")
+        self.waiting = handle.getListState("waiting", "event_ids array<long>, dues_ms array<long>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        at_once = []
         for frame in rows:
-            for event_id, due in zip(frame["event_id"].tolist(), frame["due_ms"].tolist(), strict=True):
-                # Due before the watermark: the timer's time is over, so it takes effect now.
-                if due <= now:
-                    at_once.append((event_id, due))
-                else:
-                    self.waiting.appendValue((event_id, due))
-                    self.handle.registerTimer(due)
-        yield self._made(key, at_once)
+            both = sorted(zip(frame["due_ms"].tolist(), frame["event_id"].tolist(), strict=True))
+            dues, ids = [x[0] for x in both], [x[1] for x in both]
+            # Due by the watermark: the timer's time is over, so these take effect now.
+            k = bisect_right(dues, now)
+            if k:
+                yield self._made(key, ids[:k], dues[:k])
+            if k < len(dues):
+                self.waiting.appendList([(ids[i : i + self.CHUNK], dues[i : i + self.CHUNK]) for i in range(k, len(ids), self.CHUNK)])
+                self.handle.registerTimer(dues[k])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        by = expiredTimerInfo.getExpiryTimeInMs()
-        both = [tuple(x) for x in self.waiting.get()]
-        left = [x for x in both if x[1] > by]
-        if left:
+        now = timerValues.getCurrentWatermarkInMs()
+        ids, dues, left, fired = [], [], [], False
+        for some_ids, some_dues in self.waiting.get():
+            k = bisect_right(some_dues, now)
+            ids += some_ids[:k]
+            dues += some_dues[:k]
+            fired = fired or k > 0
+            if k < len(some_dues):
+                left.append((list(some_ids[k:]), list(some_dues[k:])))
+            if len(ids) >= self.CHUNK:
+                yield self._made(key, ids, dues)
+                ids, dues = [], []
+        if ids:
+            yield self._made(key, ids, dues)
+        if fired and left:
             self.waiting.put(left)
-        else:
+        elif fired:
             self.waiting.clear()
-        yield self._made(key, [x for x in both if x[1] <= by])
+        if left:
+            # Later than the watermark, and so than the timer that fires and is deleted afterwards.
+            self.handle.registerTimer(min(x[0] for _, x in left))
 
-    def _made(self, key: tuple, effects: list[tuple[int, int]]) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]] * len(effects), "event_id": [x[0] for x in effects], "due_ms": [x[1] for x in effects]})
+    def _made(self, key: tuple, ids: Sequence[int], dues: Sequence[int]) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]] * len(ids), "event_id": ids, "due_ms": dues})
 
     def close(self) -> None:
         pass

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,72 @@ def test_state_ends_with_the_last_effect(spark, straight, tmp_path):
     assert kept[-1] <= 4 * (total - fired) + 4 and kept[-1] < max(kept)
 
 
+def test_effects_due_at_the_watermark_and_in_many_chunks(spark, tmp_path, monkeypatch):
+    """One key holds all events but one of a far key, in three files; what is due just at the
+    watermark fires, what is due a millisecond later waits."""
+    monkeypatch.setattr(timers.DelayedEffects, "CHUNK", 7)
+    start, hour = 1_700_000_000_000, 3_600_000
+    rows = [(i, start + i * 1000, 1) for i in range(300)] + [(300, start + hour + 100_000, 2)]
+    for k in range(3):
+        part = spark.createDataFrame(rows[k * 100 : (k + 1) * 100 + (k == 2)], "event_id long, ms long, user_id long")
+        part.select("event_id", F.timestamp_millis("ms").alias("ts"), "user_id", F.lit("x").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props")).coalesce(1).write.parquet(str(tmp_path / f"w{k}"))
+        made = next((tmp_path / f"w{k}").glob("part-*.parquet"))
+        made.rename(tmp_path / f"file{k}.parquet")
+        os.utime(tmp_path / f"file{k}.parquet", (1_700_000_000 + k * 60,) * 2)
+    # The watermark ends at start + 100 s; event i is due at start + i s, odd ones a millisecond later.
+    got, _ = run(spark, str(tmp_path), lambda s: timers.delayed_effects(s, F.col("event_id") % 2, "1 hour"), tmp_path, "edge_effects")
+    assert sorted(r["event_id"] for r in got.collect()) == list(range(101))
+    assert all(r["due_ms"] == start + r["event_id"] * 1000 + r["event_id"] % 2 for r in got.collect())
+
+
+class Handle:
+    """State in memory that counts what passes to and from it."""
+
+    def __init__(self):
+        self.values, self.moved, self.timers = [], 0, set()
+
+    def getListState(self, *_):
+        return self
+
+    def get(self):
+        self.moved += len(self.values)
+        return iter(list(self.values))
+
+    def put(self, values):
+        self.moved += len(values)
+        self.values = list(values)
+
+    def appendValue(self, value):
+        self.appendList([value])
+
+    def appendList(self, values):
+        self.moved += len(values)
+        self.values += values
+
+    def clear(self):
+        self.values = []
+
+    def registerTimer(self, at):
+        self.moved += 1
+        self.timers.add(at)
+
+
+def test_a_hot_key_moves_its_state_once(spark):
+    """A key with 4000 events: as many timers, each reading all that waits, are 8 million values."""
+    handle, p = Handle(), timers.DelayedEffects("user_id")
+    p.init(handle)
+    clock = lambda now: SimpleNamespace(getCurrentWatermarkInMs=lambda: now)
+    frame = pd.DataFrame({"user_id": 1, "event_id": range(4000), "due_ms": [10_000 + k * 7 % 4000 for k in range(4000)]})
+    out = list(p.handleInputRows((1,), iter([frame]), clock(0)))
+    for now in (12_000, 13_998, 13_999):
+        while due := sorted(t for t in handle.timers if t <= now):
+            out += p.handleExpiredTimer((1,), clock(now), SimpleNamespace(getExpiryTimeInMs=lambda: due[0]))
+            handle.timers.remove(due[0])
+        fired = pd.concat([x for x in out if len(x)])
+        assert sorted(fired["event_id"]) == [k for k in range(4000) if 10_000 + k * 7 % 4000 <= now]
+    assert handle.moved < 100 and not handle.values and not handle.timers
+
+
 def test_on_time_and_late_rows_are_all_rows(spark, shuffled, tmp_path):
     got, _ = run(spark, shuffled, lambda s: timers.marked_late(s, 3_600_000), tmp_path, "late")
     rows = got.collect()
